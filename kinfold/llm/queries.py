@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, packing
+from . import bpe, chat, exact_dedup, licenses, packing, quality, simhash, topk, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
+    "op2_simhash": simhash.op2_simhash,
     "op4_bpe": bpe.op4_bpe,
     "op5_packing": packing.op5_packing,
+    "op6_licenses": licenses.op6_licenses,
+    "op7_topk": topk.op7_topk,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op9_quality": quality.op9_quality,
     "op10_chat": chat.op10_chat,
 }
 
 SQL = {
+    "op6_licenses": licenses.OP6_SQL,
+    "op7_topk": topk.OP7_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
 }
