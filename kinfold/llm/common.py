@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.storage import written as saved
+
 #: Groups that hold over 1/HOT_SHARE of all rows are joined by broadcast: at most HOT_SHARE groups can.
 HOT_SHARE = 1000
 
@@ -16,31 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a temporary one in local mode only."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    global _LOCAL
-    _LOCAL = _LOCAL or tempfile.mkdtemp(prefix="kinfold-")
-    return _LOCAL
-
-
-_LOCAL: str | None = None
-
-
-def saved(df: DataFrame, label: str) -> DataFrame:
-    """df as a table written to the shared folder: cuts lineage and outlives executors; goes when the session ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.parquet(path)
-
-
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
     """Inner join of rows with groups, one row per key, where `size` says how many of the `total` rows have that key.
 
