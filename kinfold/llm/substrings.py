@@ -19,30 +19,51 @@ Texts move once: both joins read the same exchange.
 from __future__ import annotations
 
 import hashlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import table
 
 WINDOW, PREFIX = 20, 6
-#: Windows that a task's trees hold at once.
-HELD = 1 << 18
-#: Words that a worker remembers the hash of.
+#: Words, or windows, that a task's trees hold at once.
+HELD = 1 << 20
+#: Words that a worker remembers.
 REMEMBERED = 1 << 19
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
-class _Hashes(dict):
+class Words(dict):
+    """Numbers words as they come; hashes has their hashes by number."""
+
+    def __init__(self):
+        self._found: list[int] = []
+        self._table = np.zeros(0, dtype=np.uint64)
+
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) >= REMEMBERED:
+        self[word] = number = len(self)
+        self._found.append(xxhash.xxh64_intdigest(word))
+        return number
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
+
+    def hashes(self, numbers: np.ndarray) -> np.ndarray:
+        if self._found:
+            self._table, self._found = np.concatenate([self._table, np.array(self._found, dtype=np.uint64)]), []
+        return self._table[numbers]
+
+    def forget(self) -> None:
+        """To be called where numbers given out are no longer in use."""
+        if len(self) > REMEMBERED:
             self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
+            self.__init__()
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -51,79 +72,69 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def runs_of(words: list[bytes], hashes: dict, window: int = WINDOW) -> tuple[np.ndarray, ...]:
+def runs_of(codes: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, ...]:
     """Runs of consecutive windows with one anchor: first start, number of windows, the anchor's place and hash."""
-    if len(words) < window:
+    if len(codes) < window:
         return (np.zeros(0, dtype=np.int64),) * 3 + (np.zeros(0, dtype=np.uint64),)
-    codes = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))
-    grams = len(words) - PREFIX + 1
+    grams = len(codes) - PREFIX + 1
     h = np.zeros(grams, dtype=np.uint64)
     for j in range(PREFIX):
         h += codes[j : j + grams] * _ODD[j]
     h = _mix(h)
-    place = np.lib.stride_tricks.sliding_window_view(h, window - PREFIX + 1).argmin(axis=1) + np.arange(len(words) - window + 1)
+    place = np.lib.stride_tricks.sliding_window_view(h, window - PREFIX + 1).argmin(axis=1) + np.arange(len(codes) - window + 1)
     first = np.concatenate([[0], np.flatnonzero(np.diff(place)) + 1])
     return first, np.diff(np.append(first, len(place))), place[first], h[place[first]]
 
 
-class Forest:
-    """Anchored suffixes of some prefixes; repeats() marks the windows whose words also start earlier in here."""
-
-    def __init__(self, window: int = WINDOW):
-        self.window, self.rows, self.windows = window, [], 0
-
-    def add(self, route: int, doc: int, key: int, start: int, n: int, anchor: int, words: list[bytes]) -> None:
-        """n windows from word `start` of a document on, with the anchor `anchor` words after it; words has n + window - 1."""
-        self.rows.append((route, doc, key, start, n, anchor, words))
-        self.windows += n
-
-    def repeats(self) -> list[np.ndarray]:
-        """For each row, which of its windows start earlier too: in a smaller document, or before in the same."""
-        window, rows = self.window, self.rows
-        count = len(rows)
-        marks = [np.zeros(r[4], dtype=bool) for r in rows]
-        if sum(r[4] for r in rows) < 2:
-            return marks
-        ids: dict[bytes, int] = {}
-        flat = np.fromiter((ids.setdefault(w, len(ids)) for r in rows for w in r[6]), dtype=np.int64)
-        lengths = np.array([len(r[6]) for r in rows])
-        offset = np.cumsum(lengths) - lengths
-        doc, start, n, anchor = (np.array([r[i] for r in rows], dtype=np.int64) for i in (1, 3, 4, 5))
-        # the suffixes: words from the anchor on, padded past what the row's windows need
-        at = (offset + anchor)[:, None] + np.arange(window)
-        suffix = np.where(at < (offset + lengths)[:, None], flat[np.minimum(at, len(flat) - 1)], -1)
-        packed = (suffix[:, 0::2] << 32) | (suffix[:, 1::2] & 0xFFFFFFFF) if window % 2 == 0 else suffix
-        order = np.lexsort(packed.T[::-1])
-        differ = suffix[order][1:] != suffix[order][:-1]
-        common = np.where(differ.any(axis=1), differ.argmax(axis=1), window)
-        left = np.zeros(count, dtype=np.int64)
-        base = np.cumsum(n) - n
-        flags = np.zeros(int(n.sum()), dtype=bool)
-        for a in range(int(anchor.max()) + 1):
-            if a:  # one word further to the left of the anchor
-                there = anchor >= a
-                word = np.where(there, flat[np.where(there, offset + anchor - a, 0)], -1)
-                left = np.unique(left * (len(ids) + 1) + word + 1, return_inverse=True)[1]
-            has = np.flatnonzero((a <= anchor) & (a > anchor - n))
-            if len(has) < 2:
-                continue
-            node = np.empty(count, dtype=np.int64)  # internal nodes of depth window - a, numbered along the suffix array
-            node[order] = np.concatenate([[0], np.cumsum(common < window - a)])
-            place = start[has] + anchor[has] - a
-            by = np.lexsort((place, doc[has], left[has], node[has]))
-            nodes, lefts, docs, places = node[has][by], left[has][by], doc[has][by], place[by]
-            new = np.concatenate([[True], (np.diff(nodes) != 0) | (np.diff(lefts) != 0)])
-            head = np.flatnonzero(new)[np.cumsum(new) - 1]
-            later = (docs != docs[head]) | (places != places[head])
-            row = has[by][later]
-            flags[base[row] + anchor[row] - a] = True
-        return [flags[b : b + m] for b, m in zip(base.tolist(), n.tolist())]
+def repeats(flat: np.ndarray, at: np.ndarray, n: np.ndarray, anchor: np.ndarray, doc: np.ndarray, start: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """Suffix trees of anchored suffixes: which windows' words also start in a smaller document, or before in the same.
 
-
-def _ranges(marks: np.ndarray) -> list[tuple[int, int]]:
-    """(start, length) of the runs of True."""
-    edges = np.flatnonzero(np.diff(np.concatenate([[False], marks, [False]]).astype(np.int8)))
-    return list(zip(edges[::2].tolist(), (edges[1::2] - edges[::2]).tolist()))
+    Row r has n[r] windows from word `at[r]` of flat (word numbers) on; they are those from word start[r] of document
+    doc[r] on, and their anchor is anchor[r] words further. The answer has the rows' windows end to end.
+    """
+    base = np.cumsum(n) - n
+    flags = np.zeros(int(n.sum()), dtype=bool)
+    if len(flags) < 2:
+        return flags
+    # the suffixes, from the anchor on, padded past what the row's windows need
+    places = (at + anchor)[:, None] + np.arange(window)
+    suffix = np.where(places < (at + n + window - 1)[:, None], flat[np.minimum(places, len(flat) - 1)], -1)
+    packed = np.ascontiguousarray(((suffix[:, 0::2] << 32) | (suffix[:, 1::2] & 0xFFFFFFFF)).T) if window % 2 == 0 else suffix.T
+    order = np.lexsort(packed[::-1])
+    differ = suffix[order][1:] != suffix[order][:-1]
+    common = np.where(differ.any(axis=1), differ.argmax(axis=1), window)
+    del suffix, packed, differ
+    left, size = np.zeros(len(n), dtype=np.int64), int(flat.max()) + 2
+    rank = np.empty(len(n), dtype=np.int64)
+    rank[np.lexsort((start, doc))] = np.arange(len(n))
+    for a in range(int(anchor.max()) + 1):
+        if a:  # one word further to the left of the anchor
+            word = np.where(anchor >= a, flat[np.maximum(at + anchor - a, 0)], -1)
+            left = np.unique(left * size + word + 1, return_inverse=True)[1]
+        has = np.flatnonzero((a <= anchor) & (a > anchor - n))
+        if len(has) < 2:
+            continue
+        node = np.empty(len(n), dtype=np.int64)  # internal nodes of depth window - a, numbered along the suffix array
+        node[order] = np.concatenate([[0], np.cumsum(common < window - a)])
+        group = node[has] * (int(left.max()) + 1) + left[has]
+        by = np.lexsort((rank[has], group))
+        rows, groups = has[by], group[by]
+        new = np.concatenate([[True], groups[1:] != groups[:-1]])
+        if new.all():
+            continue
+        head = rows[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        place = start + anchor - a
+        later = (doc[rows] != doc[head]) | (place[rows] != place[head])
+        flags[base[rows[later]] + anchor[rows[later]] - a] = True
+    return flags
+
+
+def _stretches(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First places and lengths of the stretches where rows stay the same and values go up by one."""
+    if not len(rows):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    first = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]) | (values[1:] != values[:-1] + 1)]))
+    return first, np.diff(np.append(first, len(rows)))
 
 
 _ROWS = "kind int, route long, key long, doc long, start int, n int, anchor int, words string"
@@ -133,44 +144,44 @@ _NAMES = ["kind", "route", "key", "doc", "start", "n", "anchor", "words"]
 SUFFIX, RANGE = 0, 1
 
 
-def _batch(out: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*out)) or [[]] * len(_NAMES)
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS)], names=_NAMES)
-
+def _batch(kind: int, route, key, doc, start, n, anchor, words) -> pa.RecordBatch:
+    arrays = [np.full(len(key), kind, dtype=np.int32), route, key, doc, start.astype(np.int32), n.astype(np.int32), anchor.astype(np.int32)]
+    last = pa.nulls(len(key), pa.string()) if words is None else pa.array(words, pa.binary()).cast(pa.string())
+    return pa.RecordBatch.from_arrays([*map(pa.array, arrays), last], names=_NAMES)
 
-def _settle(forest: Forest, out: list[tuple]) -> list[tuple]:
-    """Puts the forest's repeats into out as ranges; returns its other windows as rows of the forest's kind."""
-    rest = []
-    for (route, doc, key, start, n, anchor, words), marks in zip(forest.rows, forest.repeats()):
-        for s, m in _ranges(marks):
-            out.append((RANGE, hash((key, start + s)), key, doc, start + s, m, 0, None))
-        for s, m in _ranges(~marks):
-            rest.append((route, doc, key, start + s, m, anchor - s, words[s : s + m + forest.window - 1]))
-    return rest
 
-
-def _sent(row: tuple, route: int | None = None) -> tuple:
-    own, doc, key, start, n, anchor, words = row
-    return SUFFIX, own if route is None else route, key, doc, start, n, anchor, b" ".join(words).decode()
+def _ranges(flags, rows, starts, key, doc) -> pa.RecordBatch:
+    """The marked windows as ranges; rows, starts: of each window, its row and start."""
+    marked = np.flatnonzero(flags)
+    first, n = _stretches(key[rows[marked]], starts[marked])
+    row, start = rows[marked[first]], starts[marked[first]]
+    route = _mix(key[row].astype(np.uint64) + start.astype(np.uint64)).view(np.int64)
+    return _batch(RANGE, route, key[row], doc[row], start, n, np.zeros_like(n), None)
 
 
 def _places(docs: DataFrame, window: int) -> DataFrame:
     """Step 1: (key, places) of the anchors whose prefix occurs more than once."""
 
     def run(batches):
-        hashes = _Hashes()
+        known_words = Words()
         for batch in batches:
+            known_words.forget()
             keys, places, grams = [], [], []
             for key, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-                _, _, place, gram = runs_of((value.as_py() or "").encode().split(), hashes, window)
+                words = (value.as_py() or "").encode().split()
+                if len(words) < window:
+                    continue
+                _, _, place, gram = runs_of(known_words.hashes(known_words.numbers(words)), window)
                 keys.append(np.full(len(place), key, dtype=np.int64))
                 places.append(place)
                 grams.append(gram)
-            key, place, gram = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (keys, places, grams))
+            if not keys:
+                continue
+            key, place, gram = map(np.concatenate, (keys, places, grams))
             _, first, inverse, count = np.unique(gram, return_index=True, return_inverse=True, return_counts=True)
             known = count[inverse] > 1
             alone = _mix(key.astype(np.uint64) + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            route = np.where(known & (first[inverse] != np.arange(len(gram))), alone, gram.astype(np.uint64))
+            route = np.where(known & (first[inverse] != np.arange(len(gram))), alone, gram)
             yield pa.RecordBatch.from_arrays([pa.array(route.view(np.int64)), pa.array(key), pa.array(place.astype(np.int32)), pa.array(known)], names=["route", "key", "place", "known"])
 
     found = docs.select("key", "text").mapInArrow(run, "route long, key long, place int, known boolean").repartition("route")
@@ -179,73 +190,147 @@ def _places(docs: DataFrame, window: int) -> DataFrame:
 
 
 def _suffixes(docs: DataFrame, window: int) -> DataFrame:
-    """Step 2: anchored suffixes that no earlier one of the same batch repeats, and ranges of those that do."""
+    """Step 2: anchored suffixes that no other of the same batch repeats, and ranges of those that do."""
 
     def run(batches):
-        hashes = _Hashes()
+        known_words = Words()
+        held: list[tuple] = []
+
+        def flush():
+            texts, flats, ats, firsts, ns, anchors, grams, keys, docs_of = [], [], [], [], [], [], [], [], []
+            base = 0
+            for key, doc, words, places in held:
+                numbers = known_words.numbers(words)
+                first, n, place, gram = runs_of(known_words.hashes(numbers), window)
+                here = np.isin(place, places)
+                first, n, place, gram = first[here], n[here], place[here], gram[here]
+                texts.append(words)
+                flats.append(numbers)
+                ats.append(first + base)
+                firsts.append(first)
+                ns.append(n)
+                anchors.append(place - first)
+                grams.append(gram)
+                keys.append(np.full(len(first), key, dtype=np.int64))
+                docs_of.append(np.full(len(first), doc, dtype=np.int64))
+                base += len(words)
+            held.clear()
+            flat, at, start, n, anchor, gram, key, doc = map(np.concatenate, (flats, ats, firsts, ns, anchors, grams, keys, docs_of))
+            flags = repeats(flat, at, n, anchor, doc, start, window)
+            rows = np.repeat(np.arange(len(n)), n)
+            inner = np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)
+            yield _ranges(flags, rows, start[rows] + inner, key, doc)
+            rest = np.flatnonzero(~flags)
+            first, m = _stretches(rows[rest], inner[rest])
+            row, off = rows[rest[first]], inner[rest[first]]
+            blob = b" ".join(chain.from_iterable(texts))
+            ends = np.cumsum(np.fromiter(map(len, chain.from_iterable(texts)), dtype=np.int64, count=len(flat)) + 1)
+            begin = np.where(at[row] + off > 0, ends[at[row] + off - 1], 0)
+            words = [blob[b:e] for b, e in zip(begin.tolist(), (ends[at[row] + off + m + window - 2] - 1).tolist())]
+            for i in range(0, len(row), 1 << 16):
+                r, o, part = row[i : i + (1 << 16)], off[i : i + (1 << 16)], m[i : i + (1 << 16)]
+                yield _batch(SUFFIX, gram[r].view(np.int64), key[r], doc[r], start[r] + o, part, anchor[r] - o, words[i : i + (1 << 16)])
+
+        size = 0
         for batch in batches:
-            forest, out = Forest(window), []
             for key, doc, value, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
                 words = (value.as_py() or "").encode().split()
-                first, n, place, gram = runs_of(words, hashes, window)
-                here = np.isin(place, places.values.to_numpy())
-                for s, m, p, g in zip(first[here].tolist(), n[here].tolist(), place[here].tolist(), gram[here].view(np.int64).tolist()):
-                    forest.add(g, doc, key, s, m, p - s, words[s : s + m + window - 1])
-                if forest.windows >= HELD:
-                    out += map(_sent, _settle(forest, out))
-                    yield _batch(out)
-                    forest, out = Forest(window), []
-            out += map(_sent, _settle(forest, out))
-            yield _batch(out)
+                held.append((key, doc, words, places.values.to_numpy()))
+                size += len(words)
+                if size >= HELD:
+                    yield from flush()
+                    known_words.forget()
+                    size = 0
+        if held:
+            yield from flush()
 
     return docs.select("key", "doc", "text", "places", "row").mapInArrow(run, _ROWS)  # row: the same columns as the last join, so that the exchange is shared
 
 
-def _grown(rows: DataFrame, window: int, held: int) -> DataFrame:
-    """Step 3: ranges of the suffixes that repeat, prefix by prefix; suffixes of crowded prefixes, with longer ones."""
-
-    def run(batches):
+class _Held:
+    """Suffix rows that a task has read and not yet compared."""
+
+    def __init__(self, window: int):
+        self.window, self.numbers, self.words = window, np.zeros((6, 0), dtype=np.int64), []
+
+    def add(self, rows: pa.RecordBatch) -> None:
+        columns = [rows.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(1, 7)]
+        self.numbers = np.concatenate([self.numbers, np.stack(columns)], axis=1)
+        self.words += rows.column(7).cast(pa.binary()).to_pylist()
+
+    def windows(self) -> int:
+        return int(self.numbers[4].sum())
+
+    def split(self, route: int) -> "_Held":
+        """Takes out all rows but those of a route, which is the last."""
+        at = int(np.searchsorted(self.numbers[0], route))
+        out = _Held(self.window)
+        out.numbers, self.numbers = self.numbers[:, :at], self.numbers[:, at:]
+        out.words, self.words = self.words[:at], self.words[at:]
+        return out
+
+    def settle(self) -> tuple[pa.RecordBatch, "_Held"]:
+        """Ranges of the windows that repeat, and rows of the others."""
+        route, key, doc, start, n, anchor = self.numbers
+        ids, split = Words(), [w.split(b" ") for w in self.words]
+        flat = ids.numbers(list(chain.from_iterable(split)))
+        lengths = n + self.window - 1
+        flags = repeats(flat, np.cumsum(lengths) - lengths, n, anchor, doc, start, self.window)
+        rows = np.repeat(np.arange(len(n)), n)
+        inner = np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)
+        rest = _Held(self.window)
+        left = np.flatnonzero(~flags)
+        first, m = _stretches(rows[left], inner[left])
+        row, off = rows[left[first]], inner[left[first]]
+        rest.numbers = np.stack([route[row], key[row], doc[row], start[row] + off, m, anchor[row] - off])
+        rest.words = [b" ".join(split[r][o : o + k + self.window - 1]) for r, o, k in zip(row.tolist(), off.tolist(), m.tolist())]
+        return _ranges(flags, rows, start[rows] + inner, key, doc), rest
+
+    def longer(self) -> pa.RecordBatch:
+        """Each window as a row of its own, dealt by all its words: the prefix made as long as the window."""
         import xxhash
 
-        forest, out, route, crowded = Forest(window), [], None, False
+        _, key, doc, start, n, _ = self.numbers
+        rows = np.repeat(np.arange(len(n)), n)
+        inner = np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)
+        words = [b" ".join(split[i : i + self.window]) for split, k in zip([w.split(b" ") for w in self.words], n.tolist()) for i in range(k)]
+        route = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words)).view(np.int64)
+        return _batch(SUFFIX, route, key[rows], doc[rows], start[rows] + inner, np.ones(len(rows)), np.zeros(len(rows)), words)
+
 
-        def longer(row):
-            _, doc, key, start, n, anchor, words = row
-            for s in range(n):
-                own = words[s : s + window]
-                yield _sent((0, doc, key, start + s, 1, 0, own), xxhash.xxh64_intdigest(b" ".join(own)) - (1 << 63))
+def _grown(rows: DataFrame, window: int, most: int) -> DataFrame:
+    """Step 3: ranges of the suffixes that repeat, prefix by prefix; suffixes of crowded prefixes, with longer ones."""
 
+    def run(batches):
+        held, crowded = _Held(window), None
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[0] == RANGE:
-                    out.append(row)
-                    continue
-                if row[1] != route:
-                    if forest.windows >= held or crowded:
-                        _settle(forest, out)
-                        forest, crowded = Forest(window), False
-                    route = row[1]
-                elif forest.windows >= held and not crowded:
-                    own = [r for r in forest.rows if r[0] == route]
-                    rest = [r for r in _settle(forest, out) if r[0] == route]
-                    forest = Forest(window)
-                    if sum(r[4] for r in rest) * 2 > held and any(r[4] > 1 or r[5] for r in own):
-                        crowded = True
-                        for r in rest:
-                            out += longer(r)
-                    else:
-                        for r in rest:
-                            forest.add(*r)
-                added = (row[1], row[3], row[2], row[4], row[5], row[6], row[7].encode().split(b" "))
-                if crowded:
-                    out += longer(added)
-                else:
-                    forest.add(*added)
-                if len(out) > 50_000:
-                    yield _batch(out)
-                    out = []
-        _settle(forest, out)
-        yield _batch(out)
+            ranges = pc.equal(batch.column(0), RANGE)
+            yield batch.filter(ranges)
+            batch = batch.filter(pc.invert(ranges))
+            if crowded is not None and batch.num_rows:
+                same = pc.equal(batch.column(1), crowded)
+                part = _Held(window)
+                part.add(batch.filter(same))
+                if part.words:
+                    yield part.longer()
+                batch = batch.filter(pc.invert(same))
+                crowded = None if batch.num_rows else crowded
+            if batch.num_rows:
+                held.add(batch)
+            if held.windows() >= most:
+                last = int(held.numbers[0, -1])
+                whole = held.split(last)
+                if whole.words:
+                    yield whole.settle()[0]
+                if held.windows() >= most:
+                    single = not (held.numbers[4] > 1).any() and not held.numbers[5].any()
+                    out, held = held.settle()
+                    yield out
+                    if 2 * held.windows() > most and not single:
+                        yield held.longer()
+                        held, crowded = _Held(window), last
+        if held.words:
+            yield held.settle()[0]
 
     return rows.repartition("route").sortWithinPartitions("route").mapInArrow(run, _ROWS)
 
