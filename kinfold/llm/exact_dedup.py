@@ -36,10 +36,11 @@ def _repeated_slots(hashes: DataFrame, bits: int) -> DataFrame:
 
 def _with_possible(df: DataFrame, repeated: DataFrame, bits: int) -> DataFrame:
     """df (with h) plus `possible`: whether both slots of h are in the filter."""
+    low = min(63, (1 << bits) - 1)
     for i, slot in enumerate(_slots(F.col("h"), bits)):
         words = F.broadcast(repeated.select(F.col("word").alias(f"_w{i}"), F.col("word_bits").alias(f"_b{i}")))
         df = df.join(words, F.shiftright(slot, 6) == F.col(f"_w{i}"), "left")
-    hits = [F.expr(f"coalesce(shiftright(_b{i}, CAST({s} AS INT)) & 1, 0) = 1") for i, s in enumerate(("h & 63", "shiftrightunsigned(h, 32) & 63"))]
+    hits = [F.expr(f"coalesce(shiftright(_b{i}, CAST({s} AS INT)) & 1, 0) = 1") for i, s in enumerate((f"h & {low}", f"shiftrightunsigned(h, 32) & {low}"))]
     return df.withColumn("possible", hits[0] & hits[1]).drop("_w0", "_b0", "_w1", "_b1")
 
 
