@@ -53,7 +53,7 @@ def encode(enc, text: str) -> list[int]:
         return enc.encode_ordinary(text)
     ids: list[int] = []
     for piece, single in safe_pieces(text):
-        ids += enc.encode_single_piece(piece) if single else enc.encode_ordinary(piece)
+        ids += enc._encode_single_piece(piece) if single else enc.encode_ordinary(piece)
     return ids
 
 
