@@ -68,32 +68,40 @@ class BlockMaxIndex:
         for t, postings in lists.items():
             at, weight = np.array([p[0] for p in postings]), np.array([p[1] for p in postings])
             blocks, starts = np.unique(at // block, return_index=True)
-            self.lists[t] = (at, weight, blocks, np.append(starts, len(at)), np.maximum.reduceat(weight, starts))
+            self.lists[t] = (at, weight, at // block, blocks, np.maximum.reduceat(weight, starts))
+
+    def _scores(self, held: list, chosen: np.ndarray) -> np.ndarray:
+        """Exact similarities of the examples in the chosen blocks; 0 elsewhere."""
+        at, weight = [], []
+        for (places, weights, blocks, _, _), w in held:
+            here = chosen[blocks]
+            at.append(places[here])
+            weight.append(w * weights[here])
+        return np.bincount(np.concatenate(at), np.concatenate(weight), minlength=self.n).round(12)
 
     def search(self, query: dict[int, float], k: int) -> list[tuple[float, int]]:
-        """The k best (similarity, example), ties to the lower example; only similarities over 0."""
-        bound = np.zeros(-(-self.n // self.block) if self.n else 0)
+        """The k best (similarity, example), ties to the lower example; only similarities over 0.
+
+        The blocks with the highest bounds are read first; of the others, only those whose bound reaches the k-th best
+        similarity found there.
+        """
         held = [(self.lists[t], w) for t, w in query.items() if t in self.lists]
-        for (_, _, blocks, _, most), w in held:
+        if not held:
+            return []
+        bound = np.zeros(-(-self.n // self.block))
+        for (_, _, _, blocks, most), w in held:
             bound[blocks] += w * most
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0:
-                break
-            if len(best) == k:
-                worst, last = best[-1][0], max(i for s, i in best if s == best[-1][0])
-                if bound[b] < worst * (1 - 1e-12) or bound[b] <= worst * (1 + 1e-12) and last < b * self.block:
-                    if bound[b] < worst * (1 - 1e-12):
-                        break
-                    continue
-            scores = np.zeros(self.block)
-            for (at, weight, blocks, starts, _), w in held:
-                j = int(np.searchsorted(blocks, b))
-                if j < len(blocks) and blocks[j] == b:
-                    scores[at[starts[j] : starts[j + 1]] - b * self.block] += w * weight[starts[j] : starts[j + 1]]
-            best += [(round(float(scores[i]), 12), b * self.block + i) for i in np.flatnonzero(scores > 0).tolist()]
-            best = sorted(best, key=lambda x: (-x[0], x[1]))[:k]
-        return best
+        chosen = np.zeros(len(bound), dtype=bool)
+        chosen[np.argsort(-bound, kind="stable")[: 2 + k // self.block]] = True
+        scores = self._scores(held, chosen)
+        least = np.partition(scores, self.n - k)[self.n - k] if self.n > k else 0.0
+        more = ~chosen & (bound >= least * (1 - 1e-9)) & (bound > 0)
+        if more.any():
+            scores += self._scores(held, more)
+            least = np.partition(scores, self.n - k)[self.n - k] if self.n > k else 0.0
+        near = np.flatnonzero(scores >= max(least, 1e-12))
+        best = near[np.lexsort((near, -scores[near]))[:k]]
+        return list(zip(scores[best].tolist(), best.tolist()))
 
 
 class Voters:
