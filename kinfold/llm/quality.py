@@ -21,7 +21,7 @@ from .labelled import sample
 #: Labelled documents of either class that are learned from, at most.
 PER_CLASS = 3000
 BUCKETS, RANK, BINS = 1 << 15, 8, 10
-EPOCHS, BATCH, RATE, DECAY, SEED = 12, 64, 0.05, 1e-4, 7
+EPOCHS, LEAST_STEPS, BATCH, RATE, DECAY, SEED = 12, 600, 64, 0.05, 1e-4, 7
 #: Words whose bucket a worker remembers.
 REMEMBERED = 1 << 19
 
@@ -85,7 +85,7 @@ def fit(examples: list[tuple[np.ndarray, np.ndarray, np.ndarray]], labels: np.nd
     rows = [machine.row(*e) for e in examples]
     weight = np.where(labels == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean()))
     seen_w, seen_v, seen_0 = np.full(size, 1e-2), np.full((size, RANK), 1e-2), 1e-2
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-LEAST_STEPS * BATCH // len(rows)))):
         order = draw.permutation(len(rows))
         for start in range(0, len(order), BATCH):
             chosen = order[start : start + BATCH]
