@@ -22,4 +22,5 @@ SQL = {
     "op6_licenses": licenses.OP6_SQL,
     "op7_topk": topk.OP7_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
+    "op10_chat": chat.OP10_SQL,
 }
