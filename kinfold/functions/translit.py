@@ -26,10 +26,16 @@ def _icu(spark: SparkSession):
     return icu.text.Transliterator.getInstance(RULES)
 
 
+_TABLE: dict[int, str] = {}
+
+
 def latin_table(spark: SparkSession) -> dict[int, str]:
-    """What each Latin letter outside ASCII becomes."""
+    """What each Latin letter outside ASCII becomes; read from ICU once."""
+    if _TABLE:
+        return _TABLE
     letters = [c for c in map(chr, range(128, sys.maxunicode + 1)) if unicodedata.category(c)[0] == "L" and unicodedata.name(c, "").startswith("LATIN ")]
-    return {ord(c): to for c, to in zip(letters, _icu(spark).transliterate("\n".join(letters)).split("\n"), strict=True)}
+    _TABLE.update({ord(c): to for c, to in zip(letters, _icu(spark).transliterate("\n".join(letters)).split("\n"), strict=True)})
+    return _TABLE
 
 
 def with_latin(df: DataFrame, normal: str, name: str) -> DataFrame:
