@@ -164,7 +164,10 @@ for _name, _columns in _FEATURES.items():
     query(_name, f"SELECT s1_id, target_idx, {_select} FROM p")(lambda spark, d, names=_columns, name=_name: _features(spark, d, names, name == "feat_translit"))
 
 
-@query("feat_token_set", "SELECT s1_id, target_idx, round(CAST(CAST(v AS FLOAT) AS DOUBLE), 6) AS name_token_set_ratio FROM set_ratios")
+_SET = "SELECT s1_id, target_idx, round(CAST(CAST(v AS FLOAT) AS DOUBLE), 6) AS name_token_set_ratio FROM set_ratios"
+
+
+@query("feat_token_set", _SET)
 def _(spark, d):
     return _features(spark, d, ["name_token_set_ratio"])
 
@@ -172,21 +175,26 @@ def _(spark, d):
 _WINDOWS = "list_transform(range(2 - CAST(length({x}) AS BIGINT), CAST(length({y}) AS BIGINT) + 1), lambda i: substr({y}, greatest(i, 1), least(i + CAST(length({x}) AS BIGINT), CAST(length({y}) AS BIGINT) + 1) - greatest(i, 1)))"
 
 
-def _partial(x: str, y: str) -> str:
-    return f"SELECT s1_id, target_idx, {x} AS q, unnest({_WINDOWS.format(x=x, y=y)}) AS v FROM z WHERE length({x}) <= length({y}) AND {x} <> ''"
+def _windows(x: str, y: str) -> str:
+    return f"SELECT s1_id, target_idx, {x} AS q, unnest({_WINDOWS.format(x=x, y=y)}) AS v FROM p WHERE length({x}) <= length({y}) AND {x} <> ''"
 
 
-@query(
-    "feat_partial",
+_PARTIAL = (
     "SELECT s1_id, target_idx, round(CAST(CAST(CASE WHEN n = '' OR t_n = '' THEN CASE WHEN n = t_n THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END ELSE best END AS FLOAT) AS DOUBLE), 6) AS name_partial_ratio "
     f"FROM p LEFT JOIN (SELECT s1_id, target_idx, max({sql.ratio('q', 'v')}) AS best FROM "
-    f"(SELECT DISTINCT * FROM ({_partial('n', 't_n').replace(' FROM z', ' FROM p')} UNION ALL {_partial('t_n', 'n').replace(' FROM z', ' FROM p')})) GROUP BY s1_id, target_idx) USING (s1_id, target_idx)",
+    f"(SELECT DISTINCT * FROM ({_windows('n', 't_n')} UNION ALL {_windows('t_n', 'n')})) GROUP BY s1_id, target_idx) USING (s1_id, target_idx)"
 )
+
+
+@query("feat_partial", _PARTIAL)
 def _(spark, d):
     return _features(spark, d, ["name_partial_ratio"])
 
 
-@query("features_all")
+_ALL = ", ".join(f"round(CAST(CAST({sql.FORMULAS[c]} AS FLOAT) AS DOUBLE), 6) AS {c}" for c in FEATURES if c in sql.FORMULAS)
+
+
+@query("features_all", f"SELECT s1_id, target_idx, {_ALL}, name_token_set_ratio, name_partial_ratio FROM p JOIN ({_SET}) USING (s1_id, target_idx) JOIN ({_PARTIAL}) USING (s1_id, target_idx)")
 def _(spark, d):
     return _features(spark, d, FEATURES)
 
