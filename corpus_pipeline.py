@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from kinfold.llm.common import saved, table
 from kinfold.llm.exact_dedup import drop_exact_copies
+from kinfold.llm.jaccard import keep_one_of_each
 from kinfold.llm.packing import pack_documents
 from kinfold.llm.quality import learn, with_score
-from kinfold.llm.simhash import keep_one_of_each
 from kinfold.llm.substrings import without_repeats
 
 #: A document goes if its probability of being a good one is lower.
@@ -28,7 +28,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near fingerprints: that with the smallest id."""
+    """One document of each component of texts whose 5-word shingles are alike by 4/5 or more: that with the smallest id."""
     return keep_one_of_each(docs)
 
 

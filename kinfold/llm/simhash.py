@@ -40,15 +40,20 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > len(grams), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, fp (the fingerprint's bits as a long) for every row; null text is empty."""
+def text_hash(text: str):
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("h")
+
+
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id: str = "doc_id", text: str = "text", hashed: bool = False) -> DataFrame:
+    """doc_id, fp (the fingerprint's bits as a long) for every row, and h (a hash of the text) if wanted; null text is empty."""
 
     def run(batches):
         for batch in batches:
             found = np.array([fingerprint(t.as_py() or "", shingle) for t in batch.column(1)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), *batch.columns[2:]], names=["doc_id", "fp", "h"][: batch.num_columns])
 
-    return docs.select(F.col(id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    read = docs.select(F.col(id).alias("doc_id"), F.col(text).cast("string").alias("text"), *([text_hash(text)] if hashed else []))
+    return read.mapInArrow(run, "doc_id long, fp long" + ", h long" * hashed)
 
 
 def _halves(lo, hi, ones):
@@ -185,6 +190,13 @@ def components(edges: DataFrame) -> DataFrame:
         edges = saved(below.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
 
 
+def _rooted(marked: DataFrame, budget: int) -> DataFrame:
+    """fp, least, copies, root of every fingerprint: root is the smallest of its component."""
+    distinct = saved(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "distinct")
+    linked = components(links(distinct, budget)).withColumnRenamed("node", "fp")
+    return saved(distinct.join(linked, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+
+
 def near_components(docs: DataFrame, budget: int = BUDGET, shingle: int = SHINGLE, id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fp, component_id for every row: component_id is the smallest id of all rows linked with it, itself included.
 
@@ -193,9 +205,7 @@ def near_components(docs: DataFrame, budget: int = BUDGET, shingle: int = SHINGL
     """
     marked = saved(fingerprints(docs, shingle, id, text), "fingerprints")
     total = marked.count()
-    distinct = saved(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "distinct")
-    linked = components(links(distinct, budget)).withColumnRenamed("node", "fp")
-    rooted = saved(distinct.join(linked, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+    rooted = _rooted(marked, budget)
     whole = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
     named = saved(join_groups(rooted, whole, "root", "members", total).select("fp", "component_id", "copies"), "named")
     return join_groups(marked, named, "fp", "copies", total).select("doc_id", "fp", "component_id")
@@ -204,13 +214,21 @@ def near_components(docs: DataFrame, budget: int = BUDGET, shingle: int = SHINGL
 def keep_one_of_each(docs: DataFrame, budget: int = BUDGET, shingle: int = SHINGLE, id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row of each component, the one with the smallest id, all columns as they were.
 
-    Of rows that share the kept id, any one stays. Rows with a null id stay only where no other of the component is
-    there, and then one of all of them. The text moves once, to meet its document's decision in a join on the id.
+    Rows with a null id stay only where no other of the component is there. Of rows that share the kept id, one stays;
+    rows of other components don't matter, whatever their id. The text moves once, to meet its decision in a join on
+    its hash and the id.
     """
-    none = F.lit(-(1 << 63))
-    stays = near_components(docs, budget, shingle, id, text).select(F.coalesce("component_id", none).alias("_id")).distinct()
-    wide = docs.select(F.struct(*docs.columns).alias("_row"), F.coalesce(F.col(id).cast("long"), none).alias("_id"))
-    return wide.join(stays, "_id", "left_semi").dropDuplicates(["_id"]).select("_row.*")
+    marked = saved(fingerprints(docs, shingle, id, text, hashed=True), "fingerprints")
+    least = marked.groupBy("fp").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "h")).alias("first"))
+    return rows_of(docs, _rooted(marked, budget).select("fp", "root").join(least, "fp").groupBy("root").agg(F.min("first").alias("first")), id, text)
+
+
+def rows_of(docs: DataFrame, stays: DataFrame, id: str, text: str) -> DataFrame:
+    """One row of docs for each different `first` (doc_id, h: id and hash of the text), all columns as they were."""
+    stays = saved(stays.select(F.col("first.doc_id").alias("_keep"), F.col("first.h").alias("_of")), "stays")
+    wide = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id).cast("long").alias("_id"), text_hash(text).alias("_h"))
+    won = wide.join(stays, (F.col("_h") == F.col("_of")) & F.col("_id").eqNullSafe(F.col("_keep")), "left_semi")
+    return won.dropDuplicates(["_h", "_id"]).select("_row.*")
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
