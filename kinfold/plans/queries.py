@@ -196,7 +196,7 @@ _ALL = ", ".join(f"round(CAST(CAST({sql.FORMULAS[c]} AS FLOAT) AS DOUBLE), 6) AS
 
 @query("features_all", f"SELECT s1_id, target_idx, {_ALL}, name_token_set_ratio, name_partial_ratio FROM p JOIN ({_SET}) USING (s1_id, target_idx) JOIN ({_PARTIAL}) USING (s1_id, target_idx)")
 def _(spark, d):
-    return _features(spark, d, FEATURES)
+    return _features(spark, d, FEATURES, other_scripts=True)
 
 
 @query("score", "SELECT s1_id, target_idx, " + ", ".join(f"round(CAST(p{i} AS DOUBLE), 5) AS p{i}" for i in range(4)) + " FROM ps")
