@@ -129,6 +129,14 @@ def repeats(flat: np.ndarray, at: np.ndarray, n: np.ndarray, anchor: np.ndarray,
     return flags
 
 
+def _documents(doc: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Numbers of documents in the order of doc, then key: rows with one id or none but other texts are other documents."""
+    order = np.lexsort((key, doc))
+    out = np.empty(len(doc), dtype=np.int64)
+    out[order] = np.cumsum(np.concatenate([[0], (np.diff(doc[order]) != 0) | (np.diff(key[order]) != 0)])[: len(doc)])
+    return out
+
+
 def _stretches(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First places and lengths of the stretches where rows stay the same and values go up by one."""
     if not len(rows):
@@ -216,7 +224,7 @@ def _suffixes(docs: DataFrame, window: int) -> DataFrame:
                 base += len(words)
             held.clear()
             flat, at, start, n, anchor, gram, key, doc = map(np.concatenate, (flats, ats, firsts, ns, anchors, grams, keys, docs_of))
-            flags = repeats(flat, at, n, anchor, doc, start, window)
+            flags = repeats(flat, at, n, anchor, _documents(doc, key), start, window)
             rows = np.repeat(np.arange(len(n)), n)
             inner = np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)
             yield _ranges(flags, rows, start[rows] + inner, key, doc)
@@ -275,7 +283,7 @@ class _Held:
         ids, split = Words(), [w.split(b" ") for w in self.words]
         flat = ids.numbers(list(chain.from_iterable(split)))
         lengths = n + self.window - 1
-        flags = repeats(flat, np.cumsum(lengths) - lengths, n, anchor, doc, start, self.window)
+        flags = repeats(flat, np.cumsum(lengths) - lengths, n, anchor, _documents(doc, key), start, self.window)
         rows = np.repeat(np.arange(len(n)), n)
         inner = np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)
         rest = _Held(self.window)
@@ -360,8 +368,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, held: int = HELD, id:
     """row (docs' other columns and the id, as a struct), n_words, n_removed, kept_text for every row.
 
     Words covered by a window whose words also start in a row with a smaller id (null is the smallest), or before in the
-    same row, are removed. Rows with one id are not compared with each other where their windows also start at the same
-    word, so repeated rows lose the same words. Null texts have no words.
+    same row, are removed. Rows with one id (or none) come in the order of a hash of their texts. Rows with one id and one
+    text are one document, so repeated rows lose the same words. Null texts have no words.
     """
     columns = [c for c in docs.columns if c != text]
     value = F.coalesce(F.col(text).cast("string"), F.lit(""))

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from kinfold.llm import jaccard, quality, simhash
+from kinfold.llm import jaccard, quality, simhash, substrings
 
 from .test_dedup import docs
 
@@ -17,6 +17,13 @@ def test_components_that_share_an_id_or_have_none_all_stay(spark, keep):
     assert sorted((r["doc_id"] or -1, r["text"]) for r in keep(rows).collect()) == sorted([(1, a.upper()), (5, b), (-1, c), (-1, "d e f g h")])
 
 
+def test_a_passage_goes_from_all_but_one_of_rows_with_one_id_or_none(spark):
+    p, q = (" ".join(f"{x}{i}" for i in range(40)) for x in "pq")
+    rows = docs(spark, [(None, f"{p} x"), (None, f"{p} y"), (7, f"{q} x"), (7, f"{q} y"), (7, f"{q} z")])
+    found = sorted((r["row"]["doc_id"] or -1, r["n_removed"]) for r in substrings.remove_repeats(rows).collect())
+    assert found == [(-1, 0), (-1, 40), (7, 0), (7, 40), (7, 40)]
+
+
 def test_metadata_is_a_feature_of_quality(spark):
     rows = [(i, "same words here", 10 + i % 2 * 1000) for i in range(400)]
     table = spark.createDataFrame([*rows, (1000, "same words here", None)], SCHEMA)
