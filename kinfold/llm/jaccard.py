@@ -1,37 +1,38 @@
-"""Near-duplicates by the exact Jaccard similarity of word shingles: every pair of texts at or over 4/5 is linked.
-
-1. Every row gets a fingerprint of its set of shingles; from here on a set is one node, however many rows have it.
-2. Sets that share a min-hash of two are compared with one leader of their group, so large families link in linear work.
-   This only saves work; what it misses comes next.
-3. Any two sets at or over 4/5 share a shingle among the first fifth of both, in whatever order all shingles are put
-   (shorter prefixes and the place in the order prune further, and lose nothing). Shingles that a sample of rows shows
-   to be common are ordered last. Pairs that share one and aren't linked already are compared.
-4. Links join into components, and one row of each stays.
-
-Sets are compared by all their shingles, as 64-bit hashes.
+"""Near-duplicate stage: SimHash proposes, the exact Jaccard similarity of word shingles decides, at 4/5 or more.
+
+1. Every row gets, of its set of shingles, a mark (from here on a set is one node, however many rows have it), a SimHash
+   fingerprint, KEYS min-hash keys of TURNS hashes each, and a sketch: the parity of its shingles over buckets of a hash.
+2. Fingerprints within BUDGET bits are found by the trie self-join of simhash.links(); with sets that share a min-hash
+   key with one leader of their key they are proposed as pairs. That is linear work, even in a family of a third of all
+   rows, and joins families into components.
+3. Sets of different components that share a min-hash key are the other pairs. Sets alike by 4/5 share none with a
+   probability of (1 - 0.8^TURNS)^KEYS, under 10^-7; more alike ones, of less. Keys of one component have nothing to compare.
+4. Two sketches differ in no more places than the sets do, so sketches that differ too much rule a pair out; the pairs
+   left are compared by all their shingles, as 64-bit hashes.
+5. Links join into components, and one row of each stays.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import join_groups, saved
-from .simhash import components, rows_of, text_hash
+from .simhash import components, links, majority, rows_of, text_hash
 from .substrings import _ODD, REMEMBERED, Words
 
 SHINGLE = 5
-#: Min-hash keys of a set, each of two hashes.
-KEYS = 4
-#: Rows whose shingles are counted for the order, and shingles ordered last, at most.
-COUNTED, COMMON = 5000, 200_000
+#: Bits in which fingerprints may differ to be proposed.
+BUDGET = 3
+#: Min-hash keys of a set, and hashes of each.
+KEYS, TURNS = 32, 4
 #: Texts that are picked by broadcast, at most; more are picked by shuffle.
 PICKED = 1 << 20
-#: Words of the texts that are hashed together.
-PIECE = 1 << 19
-_TURNS = np.random.default_rng(5).integers(1, 1 << 63, 2 * KEYS, dtype=np.uint64) | np.uint64(1)
+#: Words of the texts that are hashed together, and shingles that are min-hashed together.
+PIECE, PART = 1 << 19, 1 << 12
+_FACTORS = np.random.default_rng(5).integers(1, 1 << 63, KEYS * TURNS, dtype=np.uint64) | np.uint64(1)
 
 
 def shingles(w: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
@@ -66,69 +67,81 @@ def _mark(g: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(g.tobytes(), 42)).view(np.int64)) if len(g) else 0
 
 
+def _least(g: np.ndarray) -> np.ndarray:
+    """The least of each of the hashes of a set that isn't empty."""
+    parts = [(g[i : i + PART] * _FACTORS[:, None]).min(axis=1) for i in range(0, len(g), PART)]
+    return np.min(parts, axis=0)
+
+
+def _keys(g: np.ndarray) -> np.ndarray:
+    """Min-hash keys of a set; none of an empty one."""
+    if not len(g):
+        return np.zeros(0, dtype=np.int64)
+    key, least = np.arange(KEYS, dtype=np.uint64), _least(g).reshape(KEYS, TURNS)
+    for turn in range(TURNS):
+        key = ((key ^ (key >> np.uint64(29))) * _ODD[3] + least[:, turn]) * _ODD[1]
+    return (key ^ (key >> np.uint64(32))).view(np.int64)
+
+
+def sketch(g: np.ndarray) -> np.ndarray:
+    """How many shingles fall in each of 2 to 4 times as many buckets, odd or even: a bit each, in bytes."""
+    size = 1 << max(6, (2 * len(g) - 1).bit_length())
+    found = np.bincount((g ^ (g >> np.uint64(32))).astype(np.int64) & (size - 1), minlength=size)
+    return np.packbits(found.astype(np.uint8) & 1, bitorder="little")
+
+
+def sketches_differ(a: np.ndarray, b: np.ndarray) -> int:
+    """A lower bound of the number of shingles that only one of two sets has. The larger sketch is folded to the smaller."""
+    a, b = (a, b) if len(a) < len(b) else (b, a)
+    return int(np.bitwise_count(a ^ np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)).sum())
+
+
 def _marked(texts: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, h (hash of the text), fp (fingerprint of its set), n (size of its set), keys, for every row."""
+    """doc_id, h (hash of the text), and of its set: fp (mark), n (size), sim (SimHash), keys, sketch; for every row."""
 
     def run(batches):
         for batch, sets in _sets(batches, shingle):
-            keys = []
-            for g in sets:
-                least = np.array([(t * (g ^ (g >> np.uint64(32)))).min() for t in _TURNS], dtype=np.uint64) if len(g) else np.zeros(0, dtype=np.uint64)
-                keys.append((least[::2] * _ODD[3] + least[1::2]).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(1), batch.column(2), pa.array([_mark(g) for g in sets], pa.int64()), pa.array([len(g) for g in sets], pa.int32()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "h", "fp", "n", "keys"],
-            )
+                [
+                    batch.column(1), batch.column(2), pa.array([_mark(g) for g in sets], pa.int64()), pa.array([len(g) for g in sets], pa.int32()),
+                    pa.array(np.array([majority(g) for g in sets], dtype=np.uint64).view(np.int64)), pa.array([_keys(g) for g in sets], pa.list_(pa.int64())),
+                    pa.array([sketch(g).tobytes() for g in sets], pa.binary()),
+                ],
+                names=["doc_id", "h", "fp", "n", "sim", "keys", "sketch"],
+            )
 
-    return texts.select("text", "doc_id", "h").mapInArrow(run, "doc_id long, h long, fp long, n int, keys array<long>")
+    return texts.select("text", "doc_id", "h").mapInArrow(run, "doc_id long, h long, fp long, n int, sim long, keys array<long>, sketch binary")
 
 
-def _common(texts: DataFrame, total: int, shingle: int) -> np.ndarray:
-    """Shingles that more than one of a few sampled rows have, the most frequent last. They set an order, nothing else."""
+def _with_both(pairs: DataFrame, values: DataFrame) -> DataFrame:
+    """u, v, a, b: pairs with the value of either side; a node of very many pairs meets them by broadcast."""
+    total = pairs.count()
+    for node, value in (("u", "a"), ("v", "b")):
+        degrees = pairs.groupBy(node).agg(F.count("*").alias("_degree"))
+        known = degrees.join(values.select(F.col("fp").alias(node), F.col("value").alias(value)), node)
+        pairs = join_groups(pairs, known, node, "_degree", total).drop("_degree")
+    return pairs.select("u", "v", "a", "b")
 
-    def run(batches):
-        for _, sets in _sets(batches, shingle):
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, dtype=np.uint64), *sets]).view(np.int64))], names=["key"])
 
-    few = texts.where(F.pmod("h", F.lit(max(1, total // COUNTED))) == 0).select("text").limit(2 * COUNTED)
-    counted = few.mapInArrow(run, "key long").groupBy("key").count().where("count > 1").orderBy(F.desc("count"), "key").limit(COMMON)
-    return np.array([r["key"] for r in counted.select("key").collect()][::-1], dtype=np.int64).view(np.uint64)
+def _similar(pairs: DataFrame, sets: DataFrame, marked: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """(u, v), u > v: those of the pairs (written ones) whose sets are at or over 4/5."""
 
+    def rule_out(batches):
+        for batch in batches:
+            sizes, bits = ([batch.column(i).field(k) for i in (2, 3)] for k in (0, 1))
+            a, b = ([np.frombuffer(x.as_py(), dtype=np.uint8) for x in column] for column in bits)
+            near = pa.array([9 * sketches_differ(x, y) <= n + m for n, m, x, y in zip(sizes[0].to_pylist(), sizes[1].to_pylist(), a, b)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(near)
 
-def _prefixes(texts: DataFrame, common: np.ndarray, shingle: int) -> DataFrame:
-    """key, fp, n, pos: the first shingles of every row's set."""
-    shared = texts.sparkSession.sparkContext.broadcast((np.sort(common), np.argsort(common)))
-
-    def run(batches):
-        known, rank = shared.value
-        for batch, sets in _sets(batches, shingle):
-            keys, lengths = [], []
-            for g in sets:
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, g), len(known) - 1)
-                    g = g[np.argsort(np.where(known[at] == g, rank[at] + 1, 0), kind="stable")]
-                keys.append(g[: len(g) - -(-4 * len(g) // 5) + 1 if len(g) else 0])
-                lengths.append(len(keys[-1]))
-            rows = np.repeat(np.arange(len(sets)), lengths)
-            pos = np.concatenate([np.zeros(0, dtype=np.int64), *map(np.arange, lengths)])
-            fp, n = np.array([_mark(np.sort(g)) for g in sets], dtype=np.int64), np.array([len(g) for g in sets], dtype=np.int32)
-            flat = np.concatenate([np.zeros(0, dtype=np.uint64), *keys]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(fp[rows]), pa.array(n[rows]), pa.array(pos.astype(np.int32))], names=["key", "fp", "n", "pos"])
-
-    return texts.select("text").mapInArrow(run, "key long, fp long, n int, pos int")
-
-
-def _similar(pairs: DataFrame, marked: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    """(u, v), u > v: those of the pairs whose sets are at or over 4/5."""
-    ids = pairs.select(F.col("u").alias("fp")).union(pairs.select("v")).distinct()
+    sketched = _with_both(pairs, sets.select("fp", F.struct("n", "sketch").alias("value")))
+    likely = saved(sketched.mapInArrow(rule_out, "u long, v long"), "likely")
+    ids = likely.select(F.col("u").alias("fp")).union(likely.select("v")).distinct()
     wanted = saved(marked.select("fp", "h").join(ids, "fp").groupBy("fp").agg(F.min("h").alias("h")).select("h").distinct(), "wanted")
     picked = texts.join(F.broadcast(wanted) if wanted.count() <= PICKED else wanted, "h", "left_semi").select("text")
 
     def run(batches):
-        for _, sets in _sets(batches, shingle):
-            yield pa.RecordBatch.from_arrays([pa.array([_mark(g) for g in sets], pa.int64()), pa.array([g.tobytes() for g in sets], pa.binary())], names=["fp", "grams"])
-
-    sets = saved(picked.mapInArrow(run, "fp long, grams binary").dropDuplicates(["fp"]), "sets")
+        for _, grams in _sets(batches, shingle):
+            yield pa.RecordBatch.from_arrays([pa.array([_mark(g) for g in grams], pa.int64()), pa.array([g.tobytes() for g in grams], pa.binary())], names=["fp", "value"])
 
     def compare(batches):
         for batch in batches:
@@ -136,52 +149,60 @@ def _similar(pairs: DataFrame, marked: DataFrame, texts: DataFrame, shingle: int
             near = pa.array([9 * len(np.intersect1d(x, y, assume_unique=True)) >= 4 * (len(x) + len(y)) for x, y in zip(a, b)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(near)
 
-    both = pairs.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v").select("u", "v", "a", "b")
-    return saved(both.mapInArrow(compare, "u long, v long"), "similar")
+    whole = saved(picked.mapInArrow(run, "fp long, value binary").dropDuplicates(["fp"]), "whole")
+    return saved(_with_both(likely, whole).mapInArrow(compare, "u long, v long"), "similar")
 
 
 def _ordered(a: str, b: str) -> list:
     return [F.greatest(a, b).alias("u"), F.least(a, b).alias("v")]
 
 
-def near_sets(docs: DataFrame, shingle: int = SHINGLE, id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, h, fp) and links (node, root) of all fingerprints that are like another; null text is empty."""
+_SIZES = "5 * least({a}.n, {b}.n) >= 4 * greatest({a}.n, {b}.n) AND {a}.fp <> {b}.fp"
+
+
+def _proposed(sets: DataFrame, budget: int) -> DataFrame:
+    """(u, v): sets with one fingerprint or one key, each with that one's leader, and leaders of near fingerprints."""
+    total = sets.count()
+    node = F.struct("fp", "n")
+    # another leader for each key, so that one odd set doesn't lead a whole family everywhere
+    keyed = sets.select(node.alias("own"), F.explode("keys").alias("key"))
+    leaders = saved(keyed.groupBy("key").agg(F.min_by("own", F.xxhash64("own.fp", "key")).alias("leader"), F.count("*").alias("size")).where("size > 1"), "leaders")
+    by_key = join_groups(keyed, leaders, "key", "size", KEYS * total).select("own", "leader")
+    simmed = sets.select(node.alias("own"), "sim")
+    alike = saved(simmed.groupBy("sim").agg(F.min("own").alias("leader"), F.count("*").alias("size")), "alike")
+    by_sim = join_groups(simmed, alike.where("size > 1"), "sim", "size", total).select("own", "leader")
+    near = links(alike.select(F.col("sim").alias("fp")), budget)
+    lead = alike.select("sim", "leader")
+    across = near.join(lead.toDF("u", "own"), "u").join(lead.toDF("v", "leader"), "v").select("own", "leader")
+    return by_key.unionByName(by_sim).unionByName(across).where(_SIZES.format(a="own", b="leader")).select(*_ordered("own.fp", "leader.fp")).distinct()
+
+
+def near_sets(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGET, id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, h, fp) and links (node, root) of all sets that are like another; null text is empty."""
     value = F.coalesce(F.col(text).cast("string"), F.lit(""))
     texts = docs.select(F.col(id).cast("long").alias("doc_id"), value.alias("text"), text_hash(text))
     marked = saved(_marked(texts, shingle), "marked")
-    total = marked.count()
-    turn = F.posexplode("keys").alias("turn", "key")
-    keyed = saved(marked.dropDuplicates(["fp"]).select("fp", "n", turn).withColumn("key", F.xxhash64("turn", "key")), "keyed")
-    first = F.min_by(F.struct("fp", "n"), F.xxhash64("fp", "turn")).alias("leader")
-    leaders = saved(keyed.groupBy("key").agg(first, F.count("*").alias("size")).where("size > 1"), "leaders")
-    led = join_groups(keyed, leaders, "key", "size", KEYS * total).where("fp <> leader.fp AND 5 * least(n, leader.n) >= 4 * greatest(n, leader.n)")
-    links = _similar(saved(led.select(*_ordered("fp", "leader.fp")).distinct(), "led"), marked, texts, shingle)
-    rooted = components(links)
-
-    whole = Window.partitionBy("key")
-    rows = _prefixes(texts, _common(texts, total, shingle), shingle).withColumns({"lo": F.min("fp").over(whole), "hi": F.max("fp").over(whole)})
-    shared = saved(rows.where("lo < hi").select("key", "fp", "n", "pos").distinct(), "shared")
-    named = shared.join(rooted.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    # keys of one component have nothing to compare
-    open_keys = named.groupBy("key").agg((F.min("root") < F.max("root")).alias("open")).where("open").select("key")
-    left = saved(named.join(open_keys, "key"), "left")
+    sets = saved(marked.select("fp", "n", "sim", "keys", "sketch").dropDuplicates(["fp"]), "sets")
+    first = _similar(saved(_proposed(sets, budget), "proposed"), sets, marked, texts, shingle)
+    rooted = components(first)
+    named = sets.select("fp", "n", "keys").join(rooted.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    keyed = saved(named, "named").select("fp", "n", "root", F.explode("keys").alias("key"))
+    open_keys = keyed.groupBy("key").agg((F.min("root") < F.max("root")).alias("open")).where("open").select("key")
+    left = saved(keyed.join(open_keys, "key"), "left")
     a, b = left.alias("a"), left.alias("b")
-    near = F.expr(
-        "a.key = b.key AND (a.n < b.n OR a.n = b.n AND a.fp < b.fp) AND a.root <> b.root AND 5 * a.n >= 4 * b.n "
-        "AND a.pos <= a.n - ceil(8 * a.n / 9.0D - 1e-9) AND 9 * least(a.n - a.pos, b.n - b.pos) >= 4 * (a.n + b.n)"
-    )
-    pairs = saved(a.join(b, near).select(*_ordered("a.fp", "b.fp")).distinct(), "pairs")
-    more = _similar(pairs, marked, texts, shingle)
-    return marked.select("doc_id", "h", "fp"), components(links.unionByName(more).distinct())
+    across = a.join(b, F.expr(f"a.key = b.key AND a.fp < b.fp AND a.root <> b.root AND {_SIZES.format(a='a', b='b')}"))
+    more = _similar(saved(across.select(*_ordered("a.fp", "b.fp")).distinct(), "across"), sets, marked, texts, shingle)
+    return marked.select("doc_id", "h", "fp"), components(rooted.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more).distinct())
 
 
-def keep_one_of_each(docs: DataFrame, shingle: int = SHINGLE, id: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one_of_each(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGET, id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row of each component of similar texts, the one with the smallest id, all columns as they were.
 
-    Rows without words are like each other. Rows with a null id stay only where no other of the component is there. Of
-    rows that share the kept id, one stays; rows of other components don't matter, whatever their id.
+    Rows without words are like each other; null text is empty; an empty table gives an empty result. Rows with a null
+    id stay only where no other of the component is there. Of rows that share the kept id, one stays; rows of other
+    components don't matter, whatever their id.
     """
-    marked, linked = near_sets(docs, shingle, id, text)
+    marked, linked = near_sets(docs, shingle, budget, id, text)
     rows = marked.groupBy("fp").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "h")).alias("least"))
     rooted = rows.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     return rows_of(docs, rooted.groupBy("root").agg(F.min("least").alias("first")), id, text)

@@ -1,8 +1,8 @@
 """SimHash near-duplicates: fingerprints, and their Hamming self-join by a binary trie.
 
-Two fingerprints that differ in at most 2 of 64 bits agree in at least two of four 16-bit blocks. Distinct fingerprints
-are dealt by each of the six pairs of blocks (the part of the trie that is walked without errors), and each group's trie
-is joined with itself: node pairs go down together, differing bits add up, and a pair over the budget is pruned.
+Two fingerprints that differ in at most b of 64 bits agree in at least two of b + 2 blocks (of 16 bits for a budget of
+2). Distinct fingerprints are dealt by each pair of blocks (the part of the trie that is walked without errors), and each
+group's trie is joined with itself: node pairs go down together, differing bits add up, and a pair over the budget is pruned.
 Tasks return one link from each fingerprint to its group's smallest, not all pairs, and links join into components by
 alternating large-star and small-star steps.
 """
@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from .common import join_groups, saved, table
 
 BUDGET = 2
-BLOCKS, BLOCK_BITS = 4, 16
 SHINGLE = 3
 #: Node pairs that a task holds at once, and products small enough to compare at once.
 FRONTIER, SMALL = 1 << 18, 16
@@ -25,6 +24,14 @@ FRONTIER, SMALL = 1 << 18, 16
 CHUNK = 1 << 20
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; 0 of none."""
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), 65536):
+        ones += np.unpackbits(hashes[at : at + 65536].view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     """64-bit SimHash of a text's word shingles, each counted as often as it stands there; 0 without words."""
     import xxhash
@@ -33,11 +40,8 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     if not words:
         return 0
     grams = list(map(b" ".join, zip(*(words[i:] for i in range(shingle))))) or [b" ".join(words)]
-    digest, ones = xxhash.xxh64_intdigest, np.zeros(64, dtype=np.int64)
-    for at in range(0, len(grams), 65536):
-        h = np.fromiter((digest(g, 42) for g in grams[at : at + 65536]), dtype=np.uint64)
-        ones += np.unpackbits(h.view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(grams), bitorder="little").view(np.uint64)[0])
+    digest = xxhash.xxh64_intdigest
+    return majority(np.fromiter((digest(g, 42) for g in grams), dtype=np.uint64, count=len(grams)))
 
 
 def text_hash(text: str):
@@ -137,11 +141,13 @@ def _star_links(key: np.ndarray, fp: np.ndarray, budget: int) -> tuple[np.ndarra
 def links(distinct: DataFrame, budget: int = BUDGET) -> DataFrame:
     """(u, v) with u > v, as longs: enough links between distinct fingerprints (column fp) to connect all within budget.
 
-    A task takes its groups a chunk at a time; a group holds only fingerprints that agree in 32 bits.
+    A task takes its groups a chunk at a time; a group holds only fingerprints that agree in two blocks.
     """
-    part = [F.shiftrightunsigned("fp", 64 - BLOCK_BITS * (i + 1)).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)) for i in range(BLOCKS)]
-    pairs = [(i, j) for i in range(BLOCKS) for j in range(i + 1, BLOCKS)]
-    keys = F.array(*[F.lit(n << 32).bitwiseOR(F.shiftleft(part[i], BLOCK_BITS)).bitwiseOR(part[j]) for n, (i, j) in enumerate(pairs)])
+    blocks = budget + 2
+    ends = [64 * i // blocks for i in range(blocks + 1)]
+    part = [F.shiftrightunsigned("fp", 64 - to).bitwiseAND(F.lit((1 << (to - at)) - 1)) for at, to in zip(ends, ends[1:])]
+    pairs = [(i, j) for i in range(blocks) for j in range(i + 1, blocks)]
+    keys = F.array(*[F.lit(n << 32).bitwiseOR(F.shiftleft(part[i], 16)).bitwiseOR(part[j]) for n, (i, j) in enumerate(pairs)])
 
     def run(batches):
         keys, values, held = [], [], 0

@@ -1,10 +1,11 @@
 import os
 
+import numpy as np
 import pytest
 
-from kinfold.llm import jaccard
+from kinfold.llm import jaccard, simhash
 
-from .test_dedup import TABLES, docs
+from .test_dedup import TABLES, docs, slow_components
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(TABLES), reason="no tables here")
 
@@ -44,6 +45,28 @@ def test_similarities_around_the_limit(spark, monkeypatch):
     texts = {1: words, 2: words[:100], 3: words[:96], 4: words[20:], 5: words[10:110], 6: [*words[:60], "x", *words[61:]], 7: [*words[:30], "y", *words[31:90], "z", *words[91:]]}
     texts |= {20 + i: [*words[:50], f"u{i}", *words[50:]] for i in range(30)} | {60: ["a", "b"], 61: ["A", "b"], 62: ["a"], 63: [], 64: []}
     texts = {i: " ".join(t) for i, t in texts.items()}
-    for keys in (jaccard.KEYS, 0):
-        monkeypatch.setattr(jaccard, "_TURNS", jaccard._TURNS[: 2 * keys])
+    proposed = jaccard._proposed
+    for proposals in (proposed, lambda *a: proposed(*a).limit(0)):  # min-hash keys alone find all pairs, too
+        monkeypatch.setattr(jaccard, "_proposed", proposals)
         assert {r["doc_id"] for r in jaccard.keep_one_of_each(docs(spark, texts.items())).collect()} == slow_kept(texts)
+
+
+def test_sketches_never_differ_more_than_the_sets():
+    draw = np.random.default_rng(2)
+    for n, m, shared in [(3, 3, 2), (100, 90, 85), (1000, 300, 300), (40, 7000, 0), (0, 5, 0)]:
+        both = draw.integers(0, 1 << 63, n + m - shared, dtype=np.uint64)
+        a, b = both[:n], both[n - shared :]
+        assert jaccard.sketches_differ(jaccard.sketch(a), jaccard.sketch(b)) <= n + m - 2 * shared
+    others = draw.integers(0, 1 << 63, (2, 1000), dtype=np.uint64)
+    assert jaccard.sketches_differ(*map(jaccard.sketch, others)) > 500
+
+
+def test_budgets_of_other_sizes_deal_every_pair(spark):
+    draw = np.random.default_rng(4)
+    base = draw.integers(0, 1 << 62, 50, dtype=np.int64)
+    near = [int(x) ^ sum(1 << int(b) for b in draw.choice(62, k, replace=False)) for x in base for k in (3, 4)]
+    fp = sorted({*base.tolist(), *near})
+    edges = spark.createDataFrame([(f,) for f in fp], "fp long")
+    found = {r["node"]: r["root"] for r in simhash.components(simhash.links(edges, 3)).collect()}
+    expected = slow_components(dict(zip(fp, fp)), 3)
+    assert found == {f: r for f, r in expected.items() if list(expected.values()).count(r) > 1}

@@ -9,7 +9,8 @@ FOLDER = "/root/testdata/sf0.001"
 
 def test_stages_one_by_one(spark):
     import corpus_pipeline as p
-    from tests.llm.test_dedup import slow_components, slow_fingerprint, slow_repeats
+    from tests.llm.test_dedup import slow_repeats
+    from tests.llm.test_near import slow_kept
     from tests.llm.test_tokens import check
 
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
@@ -24,7 +25,7 @@ def test_stages_one_by_one(spark):
     unique = stages["exact_dedup"](spark, docs, FOLDER)
     assert unique.columns == docs.columns and {r["doc_id"] for r in unique.collect()} == set(last.values())
     near = stages["near_dedup"](spark, docs, FOLDER)
-    assert near.columns == docs.columns and {r["doc_id"] for r in near.collect()} == set(slow_components({i: slow_fingerprint(t) for i, t in texts.items()}, 2).values())
+    assert near.columns == docs.columns and {r["doc_id"] for r in near.collect()} == slow_kept(texts)
     cut = stages["substring_dedup"](spark, docs, FOLDER)
     expected = {i: k if gone else texts[i] for i, (_, gone, k) in slow_repeats(list(texts.items()), 20).items()}
     assert cut.columns == docs.columns and {r["doc_id"]: r["text"] for r in cut.collect()} == expected
