@@ -104,17 +104,101 @@ def test_top_k_of_few_and_none(spark):
     assert topk.top_k(few.limit(0)).count() == 0
 
 
-def test_block_max_search_equals_brute_force():
+@pytest.mark.parametrize("frequent", [0, 5, 1000])
+def test_block_max_search_equals_brute_force(frequent):
     draw = np.random.default_rng(2)
     vectors = []
     for _ in range(700):
         v = {int(t): float(draw.choice([0.5, 1.0, 2.0])) for t in draw.choice(60, draw.integers(1, 8), replace=False)}
         length = sum(w * w for w in v.values()) ** 0.5
-        vectors.append({t: w / length for t, w in v.items()})
-    index = toxicity.BlockMaxIndex(vectors, 16)
-    for q in vectors[:50] + [{999: 1.0}, {}]:
-        scored = sorted((-round(sum(w * v.get(t, 0.0) for t, w in q.items()), 12), i) for i, v in enumerate(vectors))
-        assert [i for _, i in index.search(q, 10)] == [i for s, i in scored if s < 0][:10]
+        vectors.append({t: w / length for t, w in sorted(v.items())})
+    arrays = [(np.array(list(v), dtype=np.int64), np.array(list(v.values()), dtype=np.float64)) for v in [*vectors, {999: 1.0}, {}]]
+    index = toxicity.BlockMaxIndex(arrays[:-2], 16, frequent)
+    asked = [*range(50), 700, 701]
+    for i, found in zip(asked, index.search([arrays[i] for i in asked], 10)):
+        q = [*vectors, {999: 1.0}, {}][i]
+        scored = sorted((-round(sum(w * v.get(t, 0.0) for t, w in q.items()), 12), j) for j, v in enumerate(vectors))
+        assert [j for _, j in found] == [j for s, j in scored if s < 0][:10]
+    assert toxicity.BlockMaxIndex([]).search(arrays[:2], 3) == [[], []]
+
+
+@here
+def test_toxicity_query_equals_brute_force(spark):
+    """Neighbours by plain dictionaries over all pairs, and isotonic regression by its max-min formula."""
+    import math
+    import zlib
+    from collections import Counter
+
+    from kinfold.llm.queries import QUERIES
+
+    def slow_terms(text):
+        found = Counter()
+        for w in "".join(c if c.isalnum() and c < "\x80" or c >= "\x80" else " " for c in text.lower()).encode().split():
+            found[zlib.crc32(w) % (1 << 20)] += 1
+            if len(w) > 5:
+                found[zlib.crc32(w[:5] + b"*") % (1 << 20)] += 1
+        return found
+
+    counted = {r["doc_id"]: slow_terms(r["text"] or "") for r in spark.read.parquet(f"{TABLES}/documents.parquet").collect()}
+    toxic = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{TABLES}/labels.parquet").collect()}
+    known = sorted(i for i in toxic if i in counted and zlib.crc32(str(i).encode()) % 3 != 1)
+    share = sum(toxic[i] for i in known) / len(known)
+    df, one, zero = Counter(), Counter(), Counter()
+    for i, c in counted.items():
+        df.update(c.keys())
+    for i in known:
+        (one if toxic[i] else zero).update(counted[i].keys())
+    weight = {}
+    for t in {*one, *zero}:
+        a, b = one[t] + 2 * share, zero[t] + 2 * (1 - share)
+        z2 = (math.log(a / b) - math.log(share / (1 - share))) ** 2 / (1 / a + 1 / b)
+        weight[t] = (math.log((len(counted) + 1) / (df[t] + 1)) + 0.05) * z2 / (z2 + 9)
+
+    def vector(i):
+        v = {t: (1 + math.log(n)) * weight[t] for t, n in counted[i].items() if weight.get(t)}
+        length = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / length for t, x in v.items()}
+
+    vectors = {i: vector(i) for i in counted}
+
+    def near(i, but=None):
+        scored = sorted(((sum(w * vectors[j].get(t, 0.0) for t, w in vectors[i].items()), j) for j in known if j != but), reverse=True)
+        return [x for x in scored if x[0] > 1e-9][:9]
+
+    def votes(found):
+        sums = [0.02, 0.02]
+        for s, j in found:
+            sums[toxic[j]] += 1 / (1.05 - min(1.0, s))
+        return math.log(sums[1] / sums[0])
+
+    found = {r["doc_id"]: r for r in QUERIES["op1_toxicity"](spark, TABLES).collect()}
+    assert set(found) == set(counted)
+    x = sorted((votes(near(i, i)), toxic[i]) for i in known if vectors[i])
+    n1 = sum(toxic[i] for i in known)
+    of = {0: (1 - share) / (len(known) - n1) * len(x), 1: share / n1 * len(x)}
+
+    def level(at):  # between two leave-one-out votes a score may be anything between their levels
+        def mean(a, b):
+            part = x[a : b + 1]
+            return (sum(of[y] * y for _, y in part) + share / 2) / (sum(of[y] for _, y in part) + 0.5), sum(of[y] * y for _, y in part) / sum(of[y] for _, y in part)
+
+        best = max(range(at + 1), key=lambda a: min(mean(a, b)[1] for b in range(at, len(x))))
+        return mean(best, max(range(at, len(x)), key=lambda b: (-mean(best, b)[1], b)))[0]
+
+    same = 0
+    for i, r in found.items():
+        slow = near(i)
+        ids = [int(j) for j in r["evidence"].split(",") if j]
+        # equal similarities may come in any order
+        assert len(ids) == min(5, len(slow)) and all(abs(s - sum(w * vectors[j].get(t, 0.0) for t, w in vectors[i].items())) < 1e-5 for (s, _), j in zip(slow, ids))
+        same += ids == [j for _, j in slow[:5]]
+        if slow:
+            v = votes(slow)
+            low = [level(p) for p in range(len(x)) if x[p][0] <= v + 1e-6]
+            high = [level(p) for p in range(len(x)) if x[p][0] >= v - 1e-6]
+            assert max(low, default=0) - 0.05 <= r["score"] <= min(high, default=1) + 0.05
+        assert r["predicted"] == int(r["score"] >= 0.7) and r["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1)
+    assert same >= 0.7 * len(found)
 
 
 def labelled(spark, n=600):
