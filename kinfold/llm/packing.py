@@ -30,14 +30,18 @@ def tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    loaded = Tokenizer.from_file(path)
-    loaded.encode_special_tokens = True  # the strings of special tokens are ordinary text
-    return loaded
+    return Tokenizer.from_file(path)
+
+
+@lru_cache(maxsize=2)
+def added_strings(path: str) -> tuple[str, ...]:
+    """Strings that the tokenizer file takes out of a text before its byte pairs, such as those of special tokens."""
+    return tuple(t.content for t in tokenizer(path).get_added_tokens_decoder().values())
 
 
 def token_ids(text: str, tokenizer_file: str, ranks_file: str | None) -> list[int]:
     """Ids of the tokenizers library. With a rank file of the same vocabulary, the faster library where both agree."""
-    if ranks_file and not _OTHER.search(text):
+    if ranks_file and not _OTHER.search(text) and not any(s in text for s in added_strings(tokenizer_file)):
         return encode(encoding(ranks_file), text)
     return tokenizer(tokenizer_file).encode(text, add_special_tokens=False).ids
 
@@ -124,7 +128,8 @@ def pack_documents(docs: DataFrame, size: int = 2048, tokenizer_file: str | None
     """Every row of docs in pieces packed into sequences of at most `size` ids: one row per piece.
 
     doc_id, start (ids of the row before the piece), length, ids_crc32, doc_tokens, sequence_id, offset. Rows with a
-    null id are packed like any other.
+    null id are packed like any other, repeated rows each. Strings of special tokens become those tokens, as the
+    tokenizers library does with a file as loaded. An empty table gives an empty result; other columns are not read.
     """
     if tokenizer_file is None:
         import public_tokenizers
@@ -134,4 +139,5 @@ def pack_documents(docs: DataFrame, size: int = 2048, tokenizer_file: str | None
 
 
 def op5_packing(spark, sf_dir: str) -> DataFrame:
+    """Query 5: pack_documents() of all documents into sequences of 2048 ids."""
     return pack_documents(table(spark, sf_dir, "documents"))

@@ -10,7 +10,8 @@ anchors. The work goes in four steps:
    already find repeats, so a passage that a third of all documents share sends a few rows a batch.
 3. A task takes as many prefixes as fit in memory, sorts their suffixes, and the longest common prefixes of neighbours
    are the internal nodes of the subtree; nodes deep enough, split by what stands to the left of the anchor, are the
-   repeats. A prefix with too many different suffixes is made longer: its windows are dealt again by all their words.
+   repeats. The suffixes of a prefix that very many batches have meet in SALTS parts first. What is left of the parts, and
+   of a prefix with too many different suffixes, gets a longer prefix: its windows are dealt again by all their words.
 4. Ranges of repeated windows meet their text again, by row, and the covered words go.
 
 Texts move once: both joins read the same exchange.
@@ -27,11 +28,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import saved, table
 
 WINDOW, PREFIX = 20, 6
 #: Words, or windows, that a task's trees hold at once.
 HELD = 1 << 20
+#: A prefix that more batches have is hot; so many of them, the most frequent, are split, by so many salts. Only tasks' sizes depend on it.
+HOT, MOST_HOT, SALTS = 32, 1 << 16, 16
 #: Words that a worker remembers.
 REMEMBERED = 1 << 19
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
@@ -72,6 +75,45 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+_WHITE = np.isin(np.arange(256), [32, *range(9, 14)])
+_BYTES = _mix(np.arange(1, 257, dtype=np.uint64) * _ODD[4])
+#: Powers of an odd number and of its inverse, as far as a text has needed them.
+_POWERS = [np.ones(1, dtype=np.uint64)] * 2
+
+
+def word_hashes(raw: np.ndarray) -> np.ndarray:
+    """A hash of each word of a text, given as bytes; equal words have equal hashes."""
+    if len(raw) >= len(_POWERS[0]):
+        size = 1 << len(raw).bit_length()
+        for i, factor in enumerate((int(_ODD[0]), pow(int(_ODD[0]), -1, 1 << 64))):
+            powers = np.full(size, factor, dtype=np.uint64)
+            powers[0] = 1
+            _POWERS[i] = np.multiply.accumulate(powers)
+    edges = np.flatnonzero(np.diff(_WHITE[raw], prepend=True, append=True))
+    start, end = edges[::2], edges[1::2]
+    upto = np.zeros(len(raw) + 1, dtype=np.uint64)
+    np.cumsum(_BYTES[raw] * _POWERS[0][: len(raw)], out=upto[1:])
+    return _mix((upto[end] - upto[start]) * _POWERS[1][start])
+
+
+def _bytes_of(value) -> np.ndarray:
+    """A text's bytes; none for a null."""
+    return np.frombuffer(value.as_buffer(), dtype=np.uint8) if value.is_valid else np.zeros(0, dtype=np.uint8)
+
+
+def _first_least(h: np.ndarray, width: int) -> np.ndarray:
+    """Of each `width` neighbours, the place of the first with the least leading bits."""
+    if len(h) >= 1 << 24:
+        return np.lib.stride_tricks.sliding_window_view(h, width).argmin(axis=1) + np.arange(len(h) - width + 1)
+    low = np.uint64((1 << 24) - 1)
+    least, reach = (h & ~low) | np.arange(len(h), dtype=np.uint64), 1
+    while 2 * reach <= width:
+        least, reach = np.minimum(least[:-reach], least[reach:]), 2 * reach
+    if reach < width:
+        least = np.minimum(least[: len(h) - width + 1], least[width - reach :])
+    return (least & low).astype(np.int64)
+
+
 def runs_of(codes: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, ...]:
     """Runs of consecutive windows with one anchor: first start, number of windows, the anchor's place and hash."""
     if len(codes) < window:
@@ -81,7 +123,7 @@ def runs_of(codes: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, ...]:
     for j in range(PREFIX):
         h += codes[j : j + grams] * _ODD[j]
     h = _mix(h)
-    place = np.lib.stride_tricks.sliding_window_view(h, window - PREFIX + 1).argmin(axis=1) + np.arange(len(codes) - window + 1)
+    place = _first_least(h, window - PREFIX + 1)
     first = np.concatenate([[0], np.flatnonzero(np.diff(place)) + 1])
     return first, np.diff(np.append(first, len(place))), place[first], h[place[first]]
 
@@ -148,12 +190,12 @@ def _stretches(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.nda
 _ROWS = "kind int, route long, key long, doc long, start int, n int, anchor int, words string"
 _KINDS = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
 _NAMES = ["kind", "route", "key", "doc", "start", "n", "anchor", "words"]
-#: Kinds of rows: anchored suffixes still to compare, and ranges of repeated windows.
-SUFFIX, RANGE = 0, 1
+#: Kinds of rows: anchored suffixes still to compare, ranges of repeated windows, and suffixes of a hot prefix's part.
+SUFFIX, RANGE, PART = 0, 1, 2
 
 
-def _batch(kind: int, route, key, doc, start, n, anchor, words) -> pa.RecordBatch:
-    arrays = [np.full(len(key), kind, dtype=np.int32), route, key, doc, start.astype(np.int32), n.astype(np.int32), anchor.astype(np.int32)]
+def _batch(kind, route, key, doc, start, n, anchor, words) -> pa.RecordBatch:
+    arrays = [np.full(len(key), kind, dtype=np.int32) if isinstance(kind, int) else kind.astype(np.int32), route, key, doc, start.astype(np.int32), n.astype(np.int32), anchor.astype(np.int32)]
     last = pa.nulls(len(key), pa.string()) if words is None else pa.array(words, pa.binary()).cast(pa.string())
     return pa.RecordBatch.from_arrays([*map(pa.array, arrays), last], names=_NAMES)
 
@@ -167,22 +209,18 @@ def _ranges(flags, rows, starts, key, doc) -> pa.RecordBatch:
     return _batch(RANGE, route, key[row], doc[row], start, n, np.zeros_like(n), None)
 
 
-def _places(docs: DataFrame, window: int) -> DataFrame:
-    """Step 1: (key, places) of the anchors whose prefix occurs more than once."""
+def _places(docs: DataFrame, window: int) -> tuple[DataFrame, np.ndarray]:
+    """Step 1: (key, places) of the anchors whose prefix occurs more than once, and the hot prefixes, at most MOST_HOT."""
 
     def run(batches):
-        known_words = Words()
         for batch in batches:
-            known_words.forget()
             keys, places, grams = [], [], []
             for key, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-                words = (value.as_py() or "").encode().split()
-                if len(words) < window:
-                    continue
-                _, _, place, gram = runs_of(known_words.hashes(known_words.numbers(words)), window)
-                keys.append(np.full(len(place), key, dtype=np.int64))
-                places.append(place)
-                grams.append(gram)
+                _, _, place, gram = runs_of(word_hashes(_bytes_of(value)), window)
+                if len(place):
+                    keys.append(np.full(len(place), key, dtype=np.int64))
+                    places.append(place)
+                    grams.append(gram)
             if not keys:
                 continue
             key, place, gram = map(np.concatenate, (keys, places, grams))
@@ -193,12 +231,15 @@ def _places(docs: DataFrame, window: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(route.view(np.int64)), pa.array(key), pa.array(place.astype(np.int32)), pa.array(known)], names=["route", "key", "place", "known"])
 
     found = docs.select("key", "text").mapInArrow(run, "route long, key long, place int, known boolean").repartition("route")
-    repeated = found.withColumn("n", F.count("*").over(Window.partitionBy("route"))).where("known OR n > 1")
-    return repeated.groupBy("key").agg(F.collect_set("place").alias("places"))
+    repeated = saved(found.withColumn("n", F.count("*").over(Window.partitionBy("route"))).where("known OR n > 1"), "repeated")
+    hot = repeated.where(F.col("n") > HOT).groupBy("route").agg(F.max("n").alias("n")).orderBy(F.desc("n"), "route").limit(MOST_HOT).collect()
+    routes = np.sort(np.array([r["route"] for r in hot], dtype=np.int64).view(np.uint64))
+    return repeated.groupBy("key").agg(F.collect_set("place").alias("places")), routes
 
 
-def _suffixes(docs: DataFrame, window: int) -> DataFrame:
+def _suffixes(docs: DataFrame, window: int, hot: np.ndarray) -> DataFrame:
     """Step 2: anchored suffixes that no other of the same batch repeats, and ranges of those that do."""
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches):
         known_words = Words()
@@ -207,9 +248,9 @@ def _suffixes(docs: DataFrame, window: int) -> DataFrame:
         def flush():
             texts, flats, ats, firsts, ns, anchors, grams, keys, docs_of = [], [], [], [], [], [], [], [], []
             base = 0
-            for key, doc, words, places in held:
+            for key, doc, words, raw, places in held:
                 numbers = known_words.numbers(words)
-                first, n, place, gram = runs_of(known_words.hashes(numbers), window)
+                first, n, place, gram = runs_of(word_hashes(raw), window)
                 here = np.isin(place, places)
                 first, n, place, gram = first[here], n[here], place[here], gram[here]
                 texts.append(words)
@@ -235,15 +276,20 @@ def _suffixes(docs: DataFrame, window: int) -> DataFrame:
             ends = np.cumsum(np.fromiter(map(len, chain.from_iterable(texts)), dtype=np.int64, count=len(flat)) + 1)
             begin = np.where(at[row] + off > 0, ends[at[row] + off - 1], 0)
             words = [blob[b:e] for b, e in zip(begin.tolist(), (ends[at[row] + off + m + window - 2] - 1).tolist())]
+            # parts of a hot prefix differ in the last bits of their route, which only say who meets whom
+            is_hot = np.isin(gram, shared.value)
+            salt = (_mix(key.astype(np.uint64)) % np.uint64(SALTS))[is_hot]
+            gram[is_hot] = gram[is_hot] & ~np.uint64(SALTS - 1) | salt
             for i in range(0, len(row), 1 << 16):
                 r, o, part = row[i : i + (1 << 16)], off[i : i + (1 << 16)], m[i : i + (1 << 16)]
-                yield _batch(SUFFIX, gram[r].view(np.int64), key[r], doc[r], start[r] + o, part, anchor[r] - o, words[i : i + (1 << 16)])
+                yield _batch(np.where(is_hot[r], PART, SUFFIX), gram[r].view(np.int64), key[r], doc[r], start[r] + o, part, anchor[r] - o, words[i : i + (1 << 16)])
 
         size = 0
         for batch in batches:
             for key, doc, value, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
-                words = (value.as_py() or "").encode().split()
-                held.append((key, doc, words, places.values.to_numpy()))
+                raw = _bytes_of(value)
+                words = raw.tobytes().split()
+                held.append((key, doc, words, raw, places.values.to_numpy()))
                 size += len(words)
                 if size >= HELD:
                     yield from flush()
@@ -259,10 +305,10 @@ class _Held:
     """Suffix rows that a task has read and not yet compared."""
 
     def __init__(self, window: int):
-        self.window, self.numbers, self.words = window, np.zeros((6, 0), dtype=np.int64), []
+        self.window, self.numbers, self.words = window, np.zeros((7, 0), dtype=np.int64), []
 
     def add(self, rows: pa.RecordBatch) -> None:
-        columns = [rows.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(1, 7)]
+        columns = [rows.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (*range(1, 7), 0)]
         self.numbers = np.concatenate([self.numbers, np.stack(columns)], axis=1)
         self.words += rows.column(7).cast(pa.binary()).to_pylist()
 
@@ -279,7 +325,7 @@ class _Held:
 
     def settle(self) -> tuple[pa.RecordBatch, "_Held"]:
         """Ranges of the windows that repeat, and rows of the others."""
-        route, key, doc, start, n, anchor = self.numbers
+        route, key, doc, start, n, anchor, kind = self.numbers
         ids, split = Words(), [w.split(b" ") for w in self.words]
         flat = ids.numbers(list(chain.from_iterable(split)))
         lengths = n + self.window - 1
@@ -290,15 +336,22 @@ class _Held:
         left = np.flatnonzero(~flags)
         first, m = _stretches(rows[left], inner[left])
         row, off = rows[left[first]], inner[left[first]]
-        rest.numbers = np.stack([route[row], key[row], doc[row], start[row] + off, m, anchor[row] - off])
+        rest.numbers = np.stack([route[row], key[row], doc[row], start[row] + off, m, anchor[row] - off, kind[row]])
         rest.words = [b" ".join(split[r][o : o + k + self.window - 1]) for r, o, k in zip(row.tolist(), off.tolist(), m.tolist())]
         return _ranges(flags, rows, start[rows] + inner, key, doc), rest
 
+    def parts(self) -> pa.RecordBatch:
+        """What is left of hot prefixes' parts, made longer: no part can know how crowded the others are."""
+        at = np.flatnonzero(self.numbers[6] == PART)
+        out = _Held(self.window)
+        out.numbers, out.words = self.numbers[:, at], [self.words[i] for i in at.tolist()]
+        return out.longer()
+
     def longer(self) -> pa.RecordBatch:
         """Each window as a row of its own, dealt by all its words: the prefix made as long as the window."""
         import xxhash
 
-        _, key, doc, start, n, _ = self.numbers
+        _, key, doc, start, n, _, _ = self.numbers
         rows = np.repeat(np.arange(len(n)), n)
         inner = np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)
         words = [b" ".join(split[i : i + self.window]) for split, k in zip([w.split(b" ") for w in self.words], n.tolist()) for i in range(k)]
@@ -307,7 +360,7 @@ class _Held:
 
 
 def _grown(rows: DataFrame, window: int, most: int) -> DataFrame:
-    """Step 3: ranges of the suffixes that repeat, prefix by prefix; suffixes of crowded prefixes, with longer ones."""
+    """Step 3: ranges of the suffixes that repeat, prefix by prefix; suffixes of crowded prefixes, with longer ones, and of parts."""
 
     def run(batches):
         held, crowded = _Held(window), None
@@ -329,7 +382,7 @@ def _grown(rows: DataFrame, window: int, most: int) -> DataFrame:
                 last = int(held.numbers[0, -1])
                 whole = held.split(last)
                 if whole.words:
-                    yield whole.settle()[0]
+                    yield from settled(whole)
                 if held.windows() >= most:
                     single = not (held.numbers[4] > 1).any() and not held.numbers[5].any()
                     out, held = held.settle()
@@ -338,7 +391,12 @@ def _grown(rows: DataFrame, window: int, most: int) -> DataFrame:
                         yield held.longer()
                         held, crowded = _Held(window), last
         if held.words:
-            yield held.settle()[0]
+            yield from settled(held)
+
+    def settled(held):
+        out, rest = held.settle()
+        yield out
+        yield rest.parts()
 
     return rows.repartition("route").sortWithinPartitions("route").mapInArrow(run, _ROWS)
 
@@ -369,15 +427,19 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, held: int = HELD, id:
 
     Words covered by a window whose words also start in a row with a smaller id (null is the smallest), or before in the
     same row, are removed. Rows with one id (or none) come in the order of a hash of their texts. Rows with one id and one
-    text are one document, so repeated rows lose the same words. Null texts have no words.
+    text are one document, so repeated rows lose the same words. Null texts have no words; an empty table gives an empty
+    result. A row is known by its id if no other has it, so no two are mixed up; in tables where ids are missing or
+    repeat, by a 64-bit hash of id and text.
     """
     columns = [c for c in docs.columns if c != text]
     value = F.coalesce(F.col(text).cast("string"), F.lit(""))
     order = F.coalesce(F.col(id).cast("long"), F.lit(-(1 << 63)))
-    keyed = docs.select(F.xxhash64(order, value).alias("key"), order.alias("doc"), value.alias("text"), F.struct(*columns).alias("row")).repartition("key")
-    read = docs.select(F.xxhash64(order, value).alias("key"), value.alias("text"))
-    places = _places(read, window)
-    suffixes = _suffixes(keyed.join(places.hint("shuffle_hash"), "key"), window)
+    ids = docs.select(F.col(id).cast("long").alias("doc")).groupBy("doc").agg(F.count("*").alias("n"))
+    unique = ids.where("n > 1 OR doc IS NULL").isEmpty()
+    key = (order if unique else F.xxhash64(order, value)).alias("key")
+    keyed = docs.select(key, order.alias("doc"), value.alias("text"), F.struct(*columns).alias("row")).repartition("key")
+    places, hot = _places(docs.select(key, value.alias("text")), window)
+    suffixes = _suffixes(keyed.join(places.hint("shuffle_hash"), "key"), window, hot)
     found = _grown(_grown(suffixes, window, held), window, held).where(F.col("kind") == RANGE)
     ranges = found.groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
     return _removed(keyed.join(ranges.hint("shuffle_hash"), "key", "left").select("row", "text", "ranges", "key", "doc"), window, as_they_were)
@@ -390,6 +452,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, id: str = "doc_id", t
 
 
 def op3_substrings(spark, sf_dir: str) -> DataFrame:
+    """Query 3: remove_repeats() of all documents, with a digest of the kept words."""
     out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("row.doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 

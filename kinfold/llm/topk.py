@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import join_groups, saved, table
 
 BUCKETS = 8
 #: Candidates in a block, and queries in one, on average over the buckets.
@@ -131,13 +131,28 @@ def _search(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return keyed.mapInArrow(run, "query_id long, vec_id long, score long")
 
 
+def _one_of_each_id(rows: DataFrame) -> DataFrame:
+    """Rows without others of the same id. Vectors of ids that stand alone, mostly all, don't move."""
+    repeated = saved(rows.groupBy("vec_id").count().where("count > 1").select("vec_id", "count"), "repeated")
+    total = repeated.agg(F.sum("count")).first()[0]
+    if not total:
+        return rows
+    known = repeated.withColumnRenamed("count", "copies")
+    several = join_groups(rows, known, "vec_id", "copies", total).drop("copies")
+    least = several.groupBy("vec_id").agg(F.min(F.struct("dim", "vector", "norm", "lot")).alias("r"))
+    alone = rows.join(known, "vec_id", "left_anti")
+    return saved(alone.unionByName(least.select("vec_id", "r.dim", "r.norm", "r.vector", "r.lot")), "different")
+
+
 def top_k(embeddings: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: each query's k best of all other rows, ties to the smaller id.
 
     Queries are the rows whose id is divisible by `every`; candidates are all rows with another id. Fewer candidates
-    give fewer rows; an empty table gives none. See quantise() for rows that take no part.
+    give fewer rows; an empty table gives none. Rows that share an id are one row, the one with the least vector (by
+    dimension, then bytes): a query's answers are different ids. See quantise() for rows that take no part. Other
+    columns are not read.
     """
-    rows = saved(quantise(embeddings, scale, id, vector), "quantised")
+    rows = _one_of_each_id(saved(quantise(embeddings, scale, id, vector), "quantised"))
     total = rows.count()
     edges = sorted(set(rows.approxQuantile("norm", [i / BUCKETS for i in range(1, BUCKETS)], 0.001))) if total else []
     bucket = F.lit(len(edges))
@@ -166,6 +181,7 @@ def top_k(embeddings: DataFrame, k: int = 5, every: int = 50, scale: float = 256
 
 
 def op7_topk(spark, sf_dir: str) -> DataFrame:
+    """Query 7: top_k() of all embeddings, five for each id divisible by 50."""
     return top_k(table(spark, sf_dir, "embeddings"))
 
 

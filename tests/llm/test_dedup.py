@@ -134,6 +134,28 @@ def passages(seed, n):
         yield i, "  ".join(own)
 
 
+def test_word_hashes_tell_words_apart():
+    text = "a b a\tab\x0bba  é \u3000 " + " ".join(map(str, range(3000))) + " " + "ab" * 2000 + " " + "ba" * 2000
+    words = text.encode().split()
+    h = substrings.word_hashes(np.frombuffer(text.encode(), dtype=np.uint8)).tolist()
+    assert len(h) == len(words) and len(set(h)) == len(set(words)) == len(set(zip(h, words)))
+    assert len(substrings.word_hashes(np.zeros(0, dtype=np.uint8))) == 0
+    draw = np.random.default_rng(1).integers(0, 1 << 63, 500, dtype=np.uint64)
+    for width in (1, 2, 3, 15, 16):
+        view = np.lib.stride_tricks.sliding_window_view(draw >> np.uint64(24), width)
+        assert (substrings._first_least(draw, width) == view.argmin(axis=1) + np.arange(len(view))).all()
+
+
+@pytest.mark.parametrize("held", [100, 1 << 20])
+def test_a_hot_passage_equals_brute_force(spark, monkeypatch, held):
+    monkeypatch.setattr(substrings, "HOT", 2)
+    draw = np.random.default_rng(8)
+    shared = " ".join(f"s{x}" for x in range(45))
+    texts = [(i, " ".join([*(f"u{x}" for x in draw.integers(0, 9000, 8)), shared[: int(draw.integers(60, 250))], f"e{i % 3}", shared])) for i in range(80)]
+    found = {r["row"]["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in substrings.remove_repeats(docs(spark, texts).repartition(40), held=held).collect()}
+    assert found == slow_repeats(texts, 20)
+
+
 @pytest.mark.parametrize("held", [60, 1 << 20])
 def test_substrings_equal_brute_force(spark, held):
     texts = [*passages(1, 60), (100, None), (101, ""), (102, "a " * 300), (103, "a b " * 100), (104, " ".join(map(str, range(5000))))]

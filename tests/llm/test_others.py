@@ -98,6 +98,19 @@ def test_top_k_equals_brute_force(spark, scale):
     assert found == slow_top(rows)
 
 
+def test_top_k_of_repeated_rows(spark):
+    draw = np.random.default_rng(6)
+    rows = [(i, [float(np.float32(c)) for c in draw.normal(size=4)]) for i in range(120)]
+    again = [rows[0], rows[0], rows[50], rows[7], rows[7], (9, [99.0] * 4), (9, [0.0] * 4)]
+    least = {}
+    for i, v in rows + again:
+        q = np.floor(256 * np.array(v)).astype(np.int64).tobytes()
+        least[i] = min(least.get(i, (q, v)), (q, v))
+    table = spark.createDataFrame([(i, v, 0) for i, v in rows + again], VECTORS)
+    found = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.top_k(table).collect()}
+    assert found == slow_top([(i, v) for i, (_, v) in least.items()])
+
+
 def test_top_k_of_few_and_none(spark):
     few = spark.createDataFrame([(0, [1.0], 0), (1, [2.0], 0)], VECTORS)
     assert [tuple(r) for r in topk.top_k(few).collect()] == [(0, 1, 1, 256 * 512)]

@@ -46,19 +46,32 @@ def test_round_trip_of_edge_cases(spark, enc):
     assert bpe.round_trip_digests(rows.limit(0), RANKS).count() == 0
 
 
+def loaded():
+    """The tokenizer as the file has it, not as the operator loads it."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(FILE)
+
+
+def test_special_tokens_in_texts():
+    for text in ("a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>", "<|endoftext|", "北<|endoftext|>京"):
+        assert packing.token_ids(text, FILE, RANKS) == loaded().encode(text, add_special_tokens=False).ids
+    assert packing.token_ids("a <|endoftext|> b", FILE, RANKS) == [64, 220, 50256, 275]
+
+
 def test_libraries_agree_on_the_fast_characters():
-    own = packing.tokenizer(FILE)
+    own = loaded()
     for c in [*map(chr, range(1, 0x250)), *map(chr, range(0x2000, 0x2070))]:
         for text in (f"a{c}b", f" {c} {c}{c}", f"1{c}'s\n{c}"):
             assert packing.token_ids(text, FILE, RANKS) == own.encode(text, add_special_tokens=False).ids, hex(ord(c))
 
 
 def check(pieces, texts, size=2048):
-    by = {}
+    by, own = {}, loaded()
     for p in pieces:
         by.setdefault(p["doc_id"], []).append(p)
     for i, text in texts:
-        ids = np.array([*packing.tokenizer(FILE).encode(text or "", add_special_tokens=False).ids, 1], dtype="<u4")
+        ids = np.array([*own.encode(text or "", add_special_tokens=False).ids, 1], dtype="<u4")
         at = 0
         for p in sorted(by[i], key=lambda p: p["start"]):
             assert (p["start"], p["doc_tokens"], p["ids_crc32"]) == (at, len(ids), zlib.crc32(ids[at : at + p["length"]].tobytes()))
@@ -84,6 +97,26 @@ def test_packing_of_edge_cases(spark):
     assert len(twice) == 3 and packing.pack_documents(rows.limit(0)).count() == 0
 
 
+@pytest.mark.skipif(not os.path.isdir(TABLES), reason="no tables here")
+def test_bpe_query(spark):
+    import tiktoken
+
+    from kinfold.llm.queries import QUERIES
+
+    import base64
+
+    with open(RANKS, "rb") as lines:
+        ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, lines)}
+    plain = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    found = {r["doc_id"]: r for r in QUERIES["op4_bpe"](spark, TABLES).collect()}
+    rows = spark.read.parquet(f"{TABLES}/documents.parquet").collect()
+    assert len(found) == len(rows)
+    for r in rows:
+        ids, own = plain.encode_ordinary(r["text"] or ""), found[r["doc_id"]]
+        assert (own["n_tokens"], own["ids_sha256"]) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+        assert own["decoded_sha256"] == hashlib.sha256((r["text"] or "").encode()).hexdigest()
+
+
 @pytest.mark.skipif(not os.path.isdir(TABLES), reason="no tables here")
 def test_packing_query(spark):
     from kinfold.llm.queries import QUERIES
