@@ -5,10 +5,11 @@
 2. Fingerprints within BUDGET bits are found by the trie self-join of simhash.links(); with sets that share a min-hash
    key with one leader of their key they are proposed as pairs. That is linear work, even in a family of a third of all
    rows, and joins families into components.
-3. Sets of different components that share a min-hash key are the other pairs. Sets alike by 4/5 share none with a
-   probability of (1 - 0.8^TURNS)^KEYS, under 10^-7; more alike ones, of less. Keys of one component have nothing to compare.
-4. Two sketches differ in no more places than the sets do, so sketches that differ too much rule a pair out; the pairs
-   left are compared by all their shingles, as 64-bit hashes.
+3. Sets of different components that share a min-hash key are compared by their sketches, inside the tasks. Sets alike by
+   4/5 share no key with a probability of (1 - 0.8^TURNS)^KEYS, under 10^-7; more alike ones, of less. Keys of one component
+   have nothing to compare, and sets of a key that very many have are dealt in blocks, each pair to one block.
+4. Two sketches differ in no more places than the sets do, so sketches that differ too much rule a pair out; only the pairs
+   left become rows, and are compared by all their shingles, as 64-bit hashes.
 5. Links join into components, and one row of each stays.
 """
 
@@ -28,6 +29,8 @@ SHINGLE = 5
 BUDGET = 3
 #: Min-hash keys of a set, and hashes of each.
 KEYS, TURNS = 32, 4
+#: Keys whose leaders are proposed, and sets of one key that a task compares at once, on average.
+LED, TOGETHER = 4, 2048
 #: Texts that are picked by broadcast, at most; more are picked by shuffle.
 PICKED = 1 << 20
 #: Words of the texts that are hashed together, and shingles that are min-hashed together.
@@ -123,8 +126,8 @@ def _with_both(pairs: DataFrame, values: DataFrame) -> DataFrame:
     return pairs.select("u", "v", "a", "b")
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, marked: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    """(u, v), u > v: those of the pairs (written ones) whose sets are at or over 4/5."""
+def _likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (written ones) that sketches don't rule out."""
 
     def rule_out(batches):
         for batch in batches:
@@ -133,8 +136,68 @@ def _similar(pairs: DataFrame, sets: DataFrame, marked: DataFrame, texts: DataFr
             near = pa.array([9 * sketches_differ(x, y) <= n + m for n, m, x, y in zip(sizes[0].to_pylist(), sizes[1].to_pylist(), a, b)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(near)
 
-    sketched = _with_both(pairs, sets.select("fp", F.struct("n", "sketch").alias("value")))
-    likely = saved(sketched.mapInArrow(rule_out, "u long, v long"), "likely")
+    return _with_both(pairs, sets.select("fp", F.struct("n", "sketch").alias("value"))).mapInArrow(rule_out, "u long, v long")
+
+
+def sketch_pairs(n: np.ndarray, root: np.ndarray, part: np.ndarray, sketches: list[np.ndarray], across: bool):
+    """Batches (i, j) of sets whose sketches allow 4/5, roots differ and, if `across`, parts too."""
+    order = np.argsort(n, kind="stable")
+    size = np.array([len(x) for x in sketches])
+    for of in np.unique(size):
+        # the larger set of a pair alike by 4/5 has a sketch of the same size or twice that
+        others = order[(size[order] == of) | (size[order] == 2 * of)]
+        rows = np.stack([np.bitwise_xor.reduce(sketches[i].reshape(-1, of), axis=0) for i in others.tolist()]).view(np.uint64)
+        sizes, roots, parts = n[others], root[others], part[others]
+        for at in np.flatnonzero(size[others] == of).tolist():
+            to = int(np.searchsorted(sizes, sizes[at] * 5 // 4, side="right"))
+            near = roots[at + 1 : to] != roots[at]
+            if across:
+                near &= parts[at + 1 : to] != parts[at]
+            j = at + 1 + np.flatnonzero(near)
+            if len(j):
+                j = j[9 * np.bitwise_count(rows[j] ^ rows[at]).sum(axis=1, dtype=np.int64) <= sizes[at] + sizes[j]]
+                yield np.full(len(j), others[at]), others[j]
+
+
+def _across(keyed: DataFrame, sets: DataFrame) -> DataFrame:
+    """(u, v): sets of one key (rows key, fp, n, root) and different roots whose sketches don't rule them out."""
+    sizes = keyed.groupBy("key").agg((F.min("root") < F.max("root")).alias("open"), F.count("*").alias("size")).where("open")
+    open_keys = sizes.select("key", F.ceil(F.col("size") / TOGETHER).cast("int").alias("parts"))
+    own = F.pmod(F.xxhash64("fp", "key"), "parts").cast("int")
+    left = keyed.join(open_keys, "key").withColumn("part", own)
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    dealt = left.select("key", "fp", "n", "root", "part", other.alias("other")).withColumns({"lo": F.least("part", "other"), "hi": F.greatest("part", "other")})
+    rows = saved(dealt, "left").join(sets.select("fp", "sketch"), "fp").select("key", "lo", "hi", "fp", "n", "root", "part", "sketch")
+
+    def run(batches):
+        held, where = [], None
+
+        def settle():
+            n, root, part, fp = (np.array([r[k] for r in held], dtype=np.int64) for k in ("n", "root", "part", "fp"))
+            out = [np.zeros((2, 0), dtype=np.int64)]
+            if len(held) > 1 and (root != root[0]).any():
+                sketches = [np.frombuffer(r["sketch"], dtype=np.uint8) for r in held]
+                out += [np.stack([fp[i], fp[j]]) for i, j in sketch_pairs(n, root, part, sketches, where[1] != where[2])]
+            u, v = np.concatenate(out, axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                of = row["key"], row["lo"], row["hi"]
+                if of != where:
+                    if len(held) > 1:
+                        yield settle()
+                    held, where = [], of
+                held.append(row)
+        if len(held) > 1:
+            yield settle()
+
+    return rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(run, "u long, v long")
+
+
+def _similar(pairs: DataFrame, marked: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """(u, v), u > v: those of the pairs whose sets are at or over 4/5."""
+    likely = saved(pairs.distinct(), "likely")
     ids = likely.select(F.col("u").alias("fp")).union(likely.select("v")).distinct()
     wanted = saved(marked.select("fp", "h").join(ids, "fp").groupBy("fp").agg(F.min("h").alias("h")).select("h").distinct(), "wanted")
     picked = texts.join(F.broadcast(wanted) if wanted.count() <= PICKED else wanted, "h", "left_semi").select("text")
@@ -165,9 +228,9 @@ def _proposed(sets: DataFrame, budget: int) -> DataFrame:
     total = sets.count()
     node = F.struct("fp", "n")
     # another leader for each key, so that one odd set doesn't lead a whole family everywhere
-    keyed = sets.select(node.alias("own"), F.explode("keys").alias("key"))
+    keyed = sets.select(node.alias("own"), F.explode(F.slice("keys", 1, LED)).alias("key"))
     leaders = saved(keyed.groupBy("key").agg(F.min_by("own", F.xxhash64("own.fp", "key")).alias("leader"), F.count("*").alias("size")).where("size > 1"), "leaders")
-    by_key = join_groups(keyed, leaders, "key", "size", KEYS * total).select("own", "leader")
+    by_key = join_groups(keyed, leaders, "key", "size", LED * total).select("own", "leader")
     simmed = sets.select(node.alias("own"), "sim")
     alike = saved(simmed.groupBy("sim").agg(F.min("own").alias("leader"), F.count("*").alias("size")), "alike")
     by_sim = join_groups(simmed, alike.where("size > 1"), "sim", "size", total).select("own", "leader")
@@ -183,15 +246,11 @@ def near_sets(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGET, id:
     texts = docs.select(F.col(id).cast("long").alias("doc_id"), value.alias("text"), text_hash(text))
     marked = saved(_marked(texts, shingle), "marked")
     sets = saved(marked.select("fp", "n", "sim", "keys", "sketch").dropDuplicates(["fp"]), "sets")
-    first = _similar(saved(_proposed(sets, budget), "proposed"), sets, marked, texts, shingle)
+    first = _similar(_likely(saved(_proposed(sets, budget), "proposed"), sets), marked, texts, shingle)
     rooted = components(first)
     named = sets.select("fp", "n", "keys").join(rooted.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     keyed = saved(named, "named").select("fp", "n", "root", F.explode("keys").alias("key"))
-    open_keys = keyed.groupBy("key").agg((F.min("root") < F.max("root")).alias("open")).where("open").select("key")
-    left = saved(keyed.join(open_keys, "key"), "left")
-    a, b = left.alias("a"), left.alias("b")
-    across = a.join(b, F.expr(f"a.key = b.key AND a.fp < b.fp AND a.root <> b.root AND {_SIZES.format(a='a', b='b')}"))
-    more = _similar(saved(across.select(*_ordered("a.fp", "b.fp")).distinct(), "across"), sets, marked, texts, shingle)
+    more = _similar(_across(keyed, sets), marked, texts, shingle)
     return marked.select("doc_id", "h", "fp"), components(rooted.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more).distinct())
 
 

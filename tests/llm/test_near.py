@@ -46,8 +46,9 @@ def test_similarities_around_the_limit(spark, monkeypatch):
     texts |= {20 + i: [*words[:50], f"u{i}", *words[50:]] for i in range(30)} | {60: ["a", "b"], 61: ["A", "b"], 62: ["a"], 63: [], 64: []}
     texts = {i: " ".join(t) for i, t in texts.items()}
     proposed = jaccard._proposed
-    for proposals in (proposed, lambda *a: proposed(*a).limit(0)):  # min-hash keys alone find all pairs, too
+    for proposals, together in ((proposed, 2048), (lambda *a: proposed(*a).limit(0), 5)):  # min-hash keys alone find all pairs, too
         monkeypatch.setattr(jaccard, "_proposed", proposals)
+        monkeypatch.setattr(jaccard, "TOGETHER", together)
         assert {r["doc_id"] for r in jaccard.keep_one_of_each(docs(spark, texts.items())).collect()} == slow_kept(texts)
 
 
@@ -61,6 +62,23 @@ def test_sketches_never_differ_more_than_the_sets():
     assert jaccard.sketches_differ(*map(jaccard.sketch, others)) > 500
 
 
+def test_sketch_pairs_are_those_of_all_pairs():
+    draw = np.random.default_rng(7)
+    pool = draw.integers(0, 1 << 63, 400, dtype=np.uint64)
+    sets = [np.unique(draw.choice(pool[: int(draw.integers(20, 400))], int(draw.integers(10, 300)))) for _ in range(150)]
+    sets += [s[: len(s) - len(s) // 12] for s in sets[:60]]
+    n, root, part = np.array([len(s) for s in sets]), draw.integers(0, 100, len(sets)), draw.integers(0, 2, len(sets))
+    sketches = [jaccard.sketch(s) for s in sets]
+    for across in (False, True):
+        found = {frozenset((int(i), int(j))) for a, b in jaccard.sketch_pairs(n, root, part, sketches, across) for i, j in zip(a, b)}
+        for i in range(len(sets)):
+            for j in range(i):
+                if root[i] != root[j] and not (across and part[i] == part[j]):
+                    near = 5 * min(n[i], n[j]) >= 4 * max(n[i], n[j]) and 9 * jaccard.sketches_differ(sketches[i], sketches[j]) <= n[i] + n[j]
+                    assert (frozenset((i, j)) in found) == near
+    assert len(found) > 20
+
+
 def test_budgets_of_other_sizes_deal_every_pair(spark):
     draw = np.random.default_rng(4)
     base = draw.integers(0, 1 << 62, 50, dtype=np.int64)
@@ -69,4 +87,4 @@ def test_budgets_of_other_sizes_deal_every_pair(spark):
     edges = spark.createDataFrame([(f,) for f in fp], "fp long")
     found = {r["node"]: r["root"] for r in simhash.components(simhash.links(edges, 3)).collect()}
     expected = slow_components(dict(zip(fp, fp)), 3)
-    assert found == {f: r for f, r in expected.items() if list(expected.values()).count(r) > 1}
+    assert found == {f: r for f, r in expected.items() if f != r}
