@@ -2,9 +2,10 @@
 
 1. Every row gets, of its set of shingles, a mark (from here on a set is one node, however many rows have it), a SimHash
    fingerprint, KEYS min-hash keys of TURNS hashes each, and a sketch: the parity of its shingles over buckets of a hash.
-2. Fingerprints within BUDGET bits are found by the trie self-join of simhash.links(); with sets that share a min-hash
-   key with one leader of their key they are proposed as pairs. That is linear work, even in a family of a third of all
-   rows, and joins families into components.
+2. Fingerprints within BUDGET bits are found by the trie self-join of simhash.links(), proposed as pairs and joined into
+   components. Then each set is proposed with one leader of each of its min-hash keys, if that is of another component;
+   after each such round components grow, and another set leads. That is linear work, even in a family of a third of all
+   rows.
 3. Sets of different components that share a min-hash key are compared by their sketches, inside the tasks. Sets alike by
    4/5 share no key with a probability of (1 - 0.8^TURNS)^KEYS, under 10^-7; more alike ones, of less. Keys of one component
    have nothing to compare, and sets of a key that very many have are dealt in blocks, each pair to one block.
@@ -29,8 +30,8 @@ SHINGLE = 5
 BUDGET = 3
 #: Min-hash keys of a set, and hashes of each.
 KEYS, TURNS = 32, 4
-#: Keys whose leaders are proposed, and sets of one key that a task compares at once, on average.
-LED, TOGETHER = 4, 2048
+#: Rounds of leaders at most (a round without a link is the last), and sets of one key that a task compares at once, on average.
+ROUNDS, TOGETHER = 2, 2048
 #: Texts that are picked by broadcast, at most; more are picked by shuffle.
 PICKED = 1 << 20
 #: Words of the texts that are hashed together, and shingles that are min-hashed together.
@@ -159,15 +160,16 @@ def sketch_pairs(n: np.ndarray, root: np.ndarray, part: np.ndarray, sketches: li
                 yield np.full(len(j), others[at]), others[j]
 
 
-def _across(keyed: DataFrame, sets: DataFrame) -> DataFrame:
-    """(u, v): sets of one key (rows key, fp, n, root) and different roots whose sketches don't rule them out."""
+def _across(named: DataFrame, sets: DataFrame) -> DataFrame:
+    """(u, v): sets of one key and different roots whose sketches don't rule them out; each pair in its first key alone."""
+    keyed = named.select("fp", "n", "root", F.explode("keys").alias("key"))
     sizes = keyed.groupBy("key").agg((F.min("root") < F.max("root")).alias("open"), F.count("*").alias("size")).where("open")
     open_keys = sizes.select("key", F.ceil(F.col("size") / TOGETHER).cast("int").alias("parts"))
     own = F.pmod(F.xxhash64("fp", "key"), "parts").cast("int")
     left = keyed.join(open_keys, "key").withColumn("part", own)
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     dealt = left.select("key", "fp", "n", "root", "part", other.alias("other")).withColumns({"lo": F.least("part", "other"), "hi": F.greatest("part", "other")})
-    rows = saved(dealt, "left").join(sets.select("fp", "sketch"), "fp").select("key", "lo", "hi", "fp", "n", "root", "part", "sketch")
+    rows = saved(dealt, "left").join(sets.select("fp", "sketch", "keys"), "fp").select("key", "lo", "hi", "fp", "n", "root", "part", "sketch", "keys")
 
     def run(batches):
         held, where = [], None
@@ -177,7 +179,11 @@ def _across(keyed: DataFrame, sets: DataFrame) -> DataFrame:
             out = [np.zeros((2, 0), dtype=np.int64)]
             if len(held) > 1 and (root != root[0]).any():
                 sketches = [np.frombuffer(r["sketch"], dtype=np.uint8) for r in held]
-                out += [np.stack([fp[i], fp[j]]) for i, j in sketch_pairs(n, root, part, sketches, where[1] != where[2])]
+                keys = np.array([r["keys"] for r in held], dtype=np.int64)
+                for i, j in sketch_pairs(n, root, part, sketches, where[1] != where[2]):
+                    first = (keys[i] == keys[j]).argmax(axis=1)
+                    here = keys[i, first] == where[0]
+                    out.append(np.stack([fp[i[here]], fp[j[here]]]))
             u, v = np.concatenate(out, axis=1)
             return pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
 
@@ -223,21 +229,36 @@ def _ordered(a: str, b: str) -> list:
 _SIZES = "5 * least({a}.n, {b}.n) >= 4 * greatest({a}.n, {b}.n) AND {a}.fp <> {b}.fp"
 
 
-def _proposed(sets: DataFrame, budget: int) -> DataFrame:
-    """(u, v): sets with one fingerprint or one key, each with that one's leader, and leaders of near fingerprints."""
-    total = sets.count()
+def _near_fingerprints(sets: DataFrame, budget: int) -> DataFrame:
+    """(u, v): sets of one fingerprint, each with the least of them, and the least ones of near fingerprints."""
     node = F.struct("fp", "n")
-    # another leader for each key, so that one odd set doesn't lead a whole family everywhere
-    keyed = sets.select(node.alias("own"), F.explode(F.slice("keys", 1, LED)).alias("key"))
-    leaders = saved(keyed.groupBy("key").agg(F.min_by("own", F.xxhash64("own.fp", "key")).alias("leader"), F.count("*").alias("size")).where("size > 1"), "leaders")
-    by_key = join_groups(keyed, leaders, "key", "size", LED * total).select("own", "leader")
     simmed = sets.select(node.alias("own"), "sim")
     alike = saved(simmed.groupBy("sim").agg(F.min("own").alias("leader"), F.count("*").alias("size")), "alike")
-    by_sim = join_groups(simmed, alike.where("size > 1"), "sim", "size", total).select("own", "leader")
+    by_sim = join_groups(simmed, alike.where("size > 1"), "sim", "size", sets.count()).select("own", "leader")
     near = links(alike.select(F.col("sim").alias("fp")), budget)
     lead = alike.select("sim", "leader")
     across = near.join(lead.toDF("u", "own"), "u").join(lead.toDF("v", "leader"), "v").select("own", "leader")
-    return by_key.unionByName(by_sim).unionByName(across).where(_SIZES.format(a="own", b="leader")).select(*_ordered("own.fp", "leader.fp")).distinct()
+    return by_sim.unionByName(across).where(_SIZES.format(a="own", b="leader")).select(*_ordered("own.fp", "leader.fp")).distinct()
+
+
+def _led(named: DataFrame, turn: int) -> DataFrame:
+    """(u, v): sets (fp, n, root, keys) with the leader of each of their keys, where components and sizes let them be alike."""
+    keyed = named.select(F.struct("fp", "n", "root").alias("own"), F.explode("keys").alias("key"))
+    leader = F.min_by("own", F.xxhash64("own.fp", "key", F.lit(turn))).alias("leader")
+    leaders = keyed.groupBy("key").agg(leader, F.count("*").alias("size"), (F.min("own.root") < F.max("own.root")).alias("open")).where("open")
+    led = join_groups(keyed, saved(leaders, "leaders"), "key", "size", KEYS * named.count())
+    return led.where("own.root <> leader.root AND " + _SIZES.format(a="own", b="leader")).select(*_ordered("own.fp", "leader.fp")).distinct()
+
+
+def _named(sets: DataFrame, rooted: DataFrame) -> DataFrame:
+    """fp, n, keys, root of every set."""
+    joined = sets.select("fp", "n", "keys").join(rooted.withColumnRenamed("node", "fp"), "fp", "left")
+    return saved(joined.withColumn("root", F.coalesce("root", "fp")), "named")
+
+
+def _grown(rooted: DataFrame, more: DataFrame) -> DataFrame:
+    """The components with more links."""
+    return components(rooted.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more).distinct())
 
 
 def near_sets(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGET, id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -246,12 +267,16 @@ def near_sets(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGET, id:
     texts = docs.select(F.col(id).cast("long").alias("doc_id"), value.alias("text"), text_hash(text))
     marked = saved(_marked(texts, shingle), "marked")
     sets = saved(marked.select("fp", "n", "sim", "keys", "sketch").dropDuplicates(["fp"]), "sets")
-    first = _similar(_likely(saved(_proposed(sets, budget), "proposed"), sets), marked, texts, shingle)
-    rooted = components(first)
-    named = sets.select("fp", "n", "keys").join(rooted.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    keyed = saved(named, "named").select("fp", "n", "root", F.explode("keys").alias("key"))
-    more = _similar(_across(keyed, sets), marked, texts, shingle)
-    return marked.select("doc_id", "h", "fp"), components(rooted.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more).distinct())
+    rooted = components(_similar(_likely(saved(_near_fingerprints(sets, budget), "proposed"), sets), marked, texts, shingle))
+    named = _named(sets, rooted)
+    for turn in range(ROUNDS):
+        found = _similar(_likely(saved(_led(named, turn), "led"), sets), marked, texts, shingle)
+        if found.isEmpty():
+            break
+        rooted = _grown(rooted, found)
+        named = _named(sets, rooted)
+    more = _similar(_across(named, sets), marked, texts, shingle)
+    return marked.select("doc_id", "h", "fp"), _grown(rooted, more)
 
 
 def keep_one_of_each(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGET, id: str = "doc_id", text: str = "text") -> DataFrame:

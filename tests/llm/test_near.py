@@ -45,11 +45,10 @@ def test_similarities_around_the_limit(spark, monkeypatch):
     texts = {1: words, 2: words[:100], 3: words[:96], 4: words[20:], 5: words[10:110], 6: [*words[:60], "x", *words[61:]], 7: [*words[:30], "y", *words[31:90], "z", *words[91:]]}
     texts |= {20 + i: [*words[:50], f"u{i}", *words[50:]] for i in range(30)} | {60: ["a", "b"], 61: ["A", "b"], 62: ["a"], 63: [], 64: []}
     texts = {i: " ".join(t) for i, t in texts.items()}
-    proposed = jaccard._proposed
-    for proposals, together in ((proposed, 2048), (lambda *a: proposed(*a).limit(0), 5)):  # min-hash keys alone find all pairs, too
-        monkeypatch.setattr(jaccard, "_proposed", proposals)
+    for rounds, budget, together in ((2, 3, 2048), (0, 0, 5)):  # min-hash keys alone find all pairs, too
+        monkeypatch.setattr(jaccard, "ROUNDS", rounds)
         monkeypatch.setattr(jaccard, "TOGETHER", together)
-        assert {r["doc_id"] for r in jaccard.keep_one_of_each(docs(spark, texts.items())).collect()} == slow_kept(texts)
+        assert {r["doc_id"] for r in jaccard.keep_one_of_each(docs(spark, texts.items()), budget=budget).collect()} == slow_kept(texts)
 
 
 def test_sketches_never_differ_more_than_the_sets():
