@@ -23,7 +23,7 @@ from .common import is_held_out, table
 from .labelled import sample
 
 #: Labelled examples of either class, at most.
-PER_CLASS = 2500
+PER_CLASS = 1500
 #: Numbers that terms are hashed to: this bounds the model and the counts, whatever the input's size.
 SPACE = 1 << 20
 PREFIX = 5
@@ -31,6 +31,8 @@ RELEVANCE = 9.0
 NEIGHBOURS, BLOCK = 9, 64
 #: Terms whose lists are kept as a matrix, and queries that meet it together; any values give the same neighbours.
 FREQUENT, TOGETHER = 1024, 64
+#: Different texts whose answers a worker remembers, at least.
+ANSWERS = 1 << 12
 #: Counts that travel in one row.
 STRETCH = 1 << 14
 THRESHOLD = 0.7
@@ -291,12 +293,22 @@ def score_documents(docs: DataFrame, model: Voters | float, id: str = "doc_id",
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voters = shared.value
+        import xxhash
+
+        voters, answers = shared.value, {}
         for batch in batches:
             out: list = []
             for i in range(0, batch.num_rows, TOGETHER):
                 texts = [t.as_py() or "" for t in batch.column(1)[i : i + TOGETHER]]
-                out += voters.score(texts) if isinstance(voters, Voters) else [(float(voters), [])] * len(texts)
+                if not isinstance(voters, Voters):
+                    out += [(float(voters), [])] * len(texts)
+                    continue
+                of = [xxhash.xxh3_128_digest(t.encode()) for t in texts]
+                new = {d: t for d, t in zip(of, texts) if d not in answers}
+                answers.update(zip(new, voters.score(list(new.values()))))
+                out += [answers[d] for d in of]
+                if len(answers) >= ANSWERS:
+                    answers.clear()
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array([s for s, _ in out], pa.float64()),
                 pa.array([[i for i, _ in e] for _, e in out], pa.list_(pa.int64())), pa.array([[x for _, x in e] for _, e in out], pa.list_(pa.float64())),
