@@ -1,11 +1,12 @@
 """Scores of boosted trees from their JSON dumps: a list of trees, nested by "children", numbers as 32-bit floats."""
 
+import hashlib
 import json
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import FEATURES
@@ -66,3 +67,23 @@ def with_tree_scores(pairs: DataFrame, models: list[Trees], features: tuple[str,
         return pd.DataFrame({f"p{i}": m.predict(matrix) for i, m in enumerate(shared.value)})
 
     return pairs.withColumn("_p", predicted(F.struct(*features))).select("*", "_p.*").drop("_p")
+
+
+def read_models(spark: SparkSession, paths: list[str], hashes: list[str] | None = None) -> tuple[list[Trees], list[str]]:
+    """Models and the SHA-256 of their files: JSON objects of feature_names, trees (a dump) and, if not 0.5, base_score.
+
+    Raises if a file is missing, if its hash isn't the one that is given, or if its features aren't FEATURES in this order.
+    """
+    if hashes and len(hashes) != len(paths):
+        raise ValueError(f"{len(paths)} models, but {len(hashes)} hashes")
+    models, found = [], []
+    for i, path in enumerate(paths):
+        content = bytes(spark.read.format("binaryFile").load(path).first()["content"])
+        found.append(hashlib.sha256(content).hexdigest())
+        if hashes and found[-1] != hashes[i].lower():
+            raise ValueError(f"{path} has the SHA-256 {found[-1]}, not {hashes[i]}")
+        model = json.loads(content)
+        if tuple(model["feature_names"]) != FEATURES:
+            raise ValueError(f"{path} isn't of the {len(FEATURES)} features in their order")
+        models.append(Trees.parse(model["trees"], model.get("base_score", 0.5)))
+    return models, found

@@ -24,15 +24,17 @@ def is_empty(spark: SparkSession, path: str) -> bool:
 
 
 def write_json(spark: SparkSession, path: str, value: dict) -> None:
-    """Writes beside the place and renames, so that a reader never sees half a record."""
+    """Writes beside the place and renames over it, so that there is a whole record at any moment: the old one or the new."""
     at, fs = _at(spark, path)
     beside, _ = _at(spark, f"{path}.new")
     out = fs.create(beside, True)
     out.write(bytearray(json.dumps(value, indent=1, sort_keys=True).encode()))
     out.close()
-    fs.delete(at, False)
-    if not fs.rename(beside, at):
-        raise OSError(f"{path} could not be written")
+    jvm = spark._jvm
+    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    over = spark.sparkContext._gateway.new_array(rename, 1)
+    over[0] = rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(fs.makeQualified(beside), fs.makeQualified(at), over)
 
 
 def read_json(spark: SparkSession, path: str) -> dict:

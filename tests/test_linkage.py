@@ -107,11 +107,14 @@ def test_transliteration(spark):
 
 def test_policy_thresholds_cap_and_ties(spark):
     near = float(np.nextafter(np.float32(0.98), np.float32(0)))
-    rows = [("a", 0, 0.98, 0.0), ("a", 1, near, 0.0), ("a", 2, 0.985, 1.0), ("a", 3, 0.99, 1.0), ("a", 4, float("nan"), 0.0)] + [("b", i, 0.995, 0.0) for i in range(12)]
+    rows = [("a", 0, 0.98, 0.0), ("a", 1, near, 0.0), ("a", 2, 0.985, 1.0), ("a", 3, 0.99, 1.0)] + [("b", i, 0.995, 0.0) for i in range(12)]
     scored = spark.createDataFrame(rows, "s1_id string, target_idx long, score float, numeric_conflict float")
     best = policy.best_matches(policy.accepted(scored))
     found = {s: [r["target_idx"] for r in best.where(F.col("s1_id") == s).orderBy("rank").collect()] for s in "ab"}
     assert found == {"a": [3, 0], "b": list(range(11, 0, -1))}
+    for odd in (float("nan"), float("inf"), None):
+        with pytest.raises(Exception, match="score not finite: a 4"):
+            policy.accepted(spark.createDataFrame([*rows, ("a", 4, odd, 0.0)], scored.schema)).collect()
 
 
 def test_mean_is_added_in_32_bits(spark):
