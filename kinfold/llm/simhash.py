@@ -22,6 +22,8 @@ SHINGLE = 3
 FRONTIER, SMALL = 1 << 18, 16
 #: Fingerprints whose groups are joined together in one go.
 CHUNK = 1 << 20
+#: Edges that the driver joins into components by itself, at most (4 MB): steps over so few cost it more memory, for their plans.
+FEW = 1 << 18
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -174,10 +176,26 @@ def links(distinct: DataFrame, budget: int = BUDGET) -> DataFrame:
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long").distinct()
 
 
+def joined(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """node and root of every node that isn't the smallest of its component, of edges u > v."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(nodes))
+    while (apart := root[a] != root[b]).any():
+        a, b = a[apart], b[apart]
+        x, y = root[a], root[b]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(up := root[root], root):
+            root = up
+    inner = root != np.arange(len(nodes))
+    return nodes[inner], nodes[root[inner]]
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (u > v): root is the smallest node of its component.
 
-    Alternates large-star (each neighbour above a node to the smallest around it) and small-star (each neighbour below)
+    At most FEW edges are joined on the driver, and the result is written. With more, it
+    alternates large-star (each neighbour above a node to the smallest around it) and small-star (each neighbour below)
     until nothing changes; every step is written to the shared folder. Nodes with very many edges are joined by broadcast.
     """
     edges = saved(edges.select("u", "v"), "edges")
@@ -186,6 +204,10 @@ def components(edges: DataFrame) -> DataFrame:
         n, mark = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").bitwiseAND(F.lit((1 << 40) - 1)))).first()
         if (n, mark) == state or not n:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        if n <= FEW:
+            few = edges.toArrow()
+            node, root = joined(*(few.column(c).to_numpy() for c in ("u", "v")))
+            return saved(edges.sparkSession.createDataFrame(pa.table({"node": pa.array(node, pa.int64()), "root": pa.array(root, pa.int64())})), "components")
         state = (n, mark)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("degree"))

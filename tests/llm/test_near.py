@@ -87,3 +87,17 @@ def test_budgets_of_other_sizes_deal_every_pair(spark):
     found = {r["node"]: r["root"] for r in simhash.components(simhash.links(edges, 3)).collect()}
     expected = slow_components(dict(zip(fp, fp)), 3)
     assert found == {f: r for f, r in expected.items() if f != r}
+
+
+def test_components_on_the_driver_are_those_by_stars(spark, monkeypatch):
+    draw = np.random.default_rng(6)
+    u, v = draw.integers(-(1 << 40), 1 << 40, 120)[draw.integers(0, 120, (2, 100))]
+    edges = spark.createDataFrame([(int(max(a, b)), int(min(a, b))) for a, b in zip(u, v) if a != b], "u long, v long").distinct()
+    found, written = [], []
+    save = simhash.saved
+    monkeypatch.setattr(simhash, "saved", lambda df, name: written.append(name) or save(df, name))
+    for few in (1 << 18, 0):
+        monkeypatch.setattr(simhash, "FEW", few)
+        found.append(sorted(map(tuple, simhash.components(edges).collect())))
+        assert ("large-star" in written) == (few == 0)
+    assert found[0] == found[1] and len(found[0]) > 50
