@@ -4,8 +4,8 @@ A window of WINDOW words is removed if the same words also start earlier. Of eac
 hash are its anchor, so equal windows have equal anchors at equal offsets, and only about an eighth of all places are
 anchors. The work goes in four steps:
 
-1. Places whose anchor prefix occurs nowhere else can't be under a deep internal node and are left out. Each batch sends
-   one row per prefix that it has more than once to the count; its other places are known to repeat.
+1. Places whose anchor prefix occurs nowhere else can't be under a deep internal node and are left out. Each ANCHORS places
+   of a task send one row per prefix that they have more than once to the count; their other places are known to repeat.
 2. What is left are anchored suffixes, each with the words of its windows, dealt by prefix. Within a batch, trees
    already find repeats, so a passage that a third of all documents share sends a few rows a batch.
 3. A task takes as many prefixes as fit in memory, sorts their suffixes, and the longest common prefixes of neighbours
@@ -19,7 +19,7 @@ Texts move once: both joins read the same exchange.
 
 from __future__ import annotations
 
-import hashlib
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -31,16 +31,34 @@ from pyspark.sql import functions as F
 from .common import saved, table
 
 WINDOW, PREFIX = 20, 6
-#: Words, or windows, that a task's trees hold at once.
+#: Words that a task's trees hold at once, with those that windows share counted in each row.
 HELD = 1 << 20
+#: Anchors that are counted together before they leave a task, rows that lose their words together, and rows made longer together.
+ANCHORS, PIECE, LONGER = 1 << 19, 1 << 10, 1 << 12
 #: A prefix that more batches have is hot; so many of them, the most frequent, are split, by so many salts. Only tasks' sizes depend on it.
 HOT, MOST_HOT, SALTS = 32, 1 << 16, 16
-#: Words that a worker remembers.
-REMEMBERED = 1 << 19
+#: Words that a worker remembers; most words of a large table come once, so many more would cost memory and find little.
+REMEMBERED = 1 << 16
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
-class Words(dict):
+class Numbers(dict):
+    """Numbers words as they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        return number
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
+
+    def forget(self) -> None:
+        """To be called where numbers given out are no longer in use."""
+        if len(self) > REMEMBERED:
+            self.clear()
+
+
+class Words(Numbers):
     """Numbers words as they come; hashes has their hashes by number."""
 
     def __init__(self):
@@ -50,24 +68,14 @@ class Words(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        self[word] = number = len(self)
         self._found.append(xxhash.xxh64_intdigest(word))
-        return number
-
-    def numbers(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
+        return super().__missing__(word)
 
     def hashes(self, numbers: np.ndarray) -> np.ndarray:
         if self._found:
             self._table, self._found = np.concatenate([self._table, np.array(self._found, dtype=np.uint64)]), []
         return self._table[numbers]
 
-    def forget(self) -> None:
-        """To be called where numbers given out are no longer in use."""
-        if len(self) > REMEMBERED:
-            self.clear()
-            self.__init__()
-
 
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
@@ -213,22 +221,32 @@ def _places(docs: DataFrame, window: int) -> tuple[DataFrame, np.ndarray]:
     """Step 1: (key, places) of the anchors whose prefix occurs more than once, and the hot prefixes, at most MOST_HOT."""
 
     def run(batches):
+        keys, places, grams = [], [], []
+
+        def flush():
+            key, place, gram = map(np.concatenate, (keys, places, grams))
+            for held in (keys, places, grams):
+                held.clear()
+            _, first, inverse, count = np.unique(gram, return_index=True, return_inverse=True, return_counts=True)
+            known = count[inverse] > 1
+            alone = _mix(key.astype(np.uint64) + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            route = np.where(known & (first[inverse] != np.arange(len(gram))), alone, gram)
+            return pa.RecordBatch.from_arrays([pa.array(route.view(np.int64)), pa.array(key), pa.array(place), pa.array(known)], names=["route", "key", "place", "known"])
+
+        size = 0
         for batch in batches:
-            keys, places, grams = [], [], []
             for key, value in zip(batch.column(0).to_pylist(), batch.column(1)):
                 _, _, place, gram = runs_of(word_hashes(_bytes_of(value)), window)
                 if len(place):
                     keys.append(np.full(len(place), key, dtype=np.int64))
-                    places.append(place)
+                    places.append(place.astype(np.int32))
                     grams.append(gram)
-            if not keys:
-                continue
-            key, place, gram = map(np.concatenate, (keys, places, grams))
-            _, first, inverse, count = np.unique(gram, return_index=True, return_inverse=True, return_counts=True)
-            known = count[inverse] > 1
-            alone = _mix(key.astype(np.uint64) + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            route = np.where(known & (first[inverse] != np.arange(len(gram))), alone, gram)
-            yield pa.RecordBatch.from_arrays([pa.array(route.view(np.int64)), pa.array(key), pa.array(place.astype(np.int32)), pa.array(known)], names=["route", "key", "place", "known"])
+                    size += len(place)
+                if size >= ANCHORS:
+                    yield flush()
+                    size = 0
+        if size:
+            yield flush()
 
     found = docs.select("key", "text").mapInArrow(run, "route long, key long, place int, known boolean").repartition("route")
     repeated = saved(found.withColumn("n", F.count("*").over(Window.partitionBy("route"))).where("known OR n > 1"), "repeated")
@@ -242,19 +260,19 @@ def _suffixes(docs: DataFrame, window: int, hot: np.ndarray) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches):
-        known_words = Words()
+        known_words = Numbers()
         held: list[tuple] = []
 
         def flush():
-            texts, flats, ats, firsts, ns, anchors, grams, keys, docs_of = [], [], [], [], [], [], [], [], []
+            texts, flats, sizes, ats, firsts, ns, anchors, grams, keys, docs_of = [], [], [], [], [], [], [], [], [], []
             base = 0
-            for key, doc, words, raw, places in held:
-                numbers = known_words.numbers(words)
+            for key, doc, joined, numbers, lengths, raw, places in held:
                 first, n, place, gram = runs_of(word_hashes(raw), window)
                 here = np.isin(place, places)
                 first, n, place, gram = first[here], n[here], place[here], gram[here]
-                texts.append(words)
+                texts.append(joined)
                 flats.append(numbers)
+                sizes.append(lengths)
                 ats.append(first + base)
                 firsts.append(first)
                 ns.append(n)
@@ -262,7 +280,7 @@ def _suffixes(docs: DataFrame, window: int, hot: np.ndarray) -> DataFrame:
                 grams.append(gram)
                 keys.append(np.full(len(first), key, dtype=np.int64))
                 docs_of.append(np.full(len(first), doc, dtype=np.int64))
-                base += len(words)
+                base += len(numbers)
             held.clear()
             flat, at, start, n, anchor, gram, key, doc = map(np.concatenate, (flats, ats, firsts, ns, anchors, grams, keys, docs_of))
             flags = repeats(flat, at, n, anchor, _documents(doc, key), start, window)
@@ -272,24 +290,25 @@ def _suffixes(docs: DataFrame, window: int, hot: np.ndarray) -> DataFrame:
             rest = np.flatnonzero(~flags)
             first, m = _stretches(rows[rest], inner[rest])
             row, off = rows[rest[first]], inner[rest[first]]
-            blob = b" ".join(chain.from_iterable(texts))
-            ends = np.cumsum(np.fromiter(map(len, chain.from_iterable(texts)), dtype=np.int64, count=len(flat)) + 1)
-            begin = np.where(at[row] + off > 0, ends[at[row] + off - 1], 0)
-            words = [blob[b:e] for b, e in zip(begin.tolist(), (ends[at[row] + off + m + window - 2] - 1).tolist())]
+            blob = b" ".join(texts)
+            ends = np.cumsum(np.concatenate(sizes) + 1)
+            begin, end = np.where(at[row] + off > 0, ends[at[row] + off - 1], 0), ends[at[row] + off + m + window - 2] - 1
             # parts of a hot prefix differ in the last bits of their route, which only say who meets whom
             is_hot = np.isin(gram, shared.value)
             salt = (_mix(key.astype(np.uint64)) % np.uint64(SALTS))[is_hot]
             gram[is_hot] = gram[is_hot] & ~np.uint64(SALTS - 1) | salt
-            for i in range(0, len(row), 1 << 16):
-                r, o, part = row[i : i + (1 << 16)], off[i : i + (1 << 16)], m[i : i + (1 << 16)]
-                yield _batch(np.where(is_hot[r], PART, SUFFIX), gram[r].view(np.int64), key[r], doc[r], start[r] + o, part, anchor[r] - o, words[i : i + (1 << 16)])
+            for i in range(0, len(row), LONGER):
+                r, o, part = (x[i : i + LONGER] for x in (row, off, m))
+                words = [blob[b:e] for b, e in zip(begin[i : i + LONGER].tolist(), end[i : i + LONGER].tolist())]
+                yield _batch(np.where(is_hot[r], PART, SUFFIX), gram[r].view(np.int64), key[r], doc[r], start[r] + o, part, anchor[r] - o, words)
 
         size = 0
         for batch in batches:
             for key, doc, value, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
                 raw = _bytes_of(value)
                 words = raw.tobytes().split()
-                held.append((key, doc, words, raw, places.values.to_numpy()))
+                lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+                held.append((key, doc, b" ".join(words), known_words.numbers(words), lengths, raw, places.values.to_numpy()))
                 size += len(words)
                 if size >= HELD:
                     yield from flush()
@@ -312,8 +331,9 @@ class _Held:
         self.numbers = np.concatenate([self.numbers, np.stack(columns)], axis=1)
         self.words += rows.column(7).cast(pa.binary()).to_pylist()
 
-    def windows(self) -> int:
-        return int(self.numbers[4].sum())
+    def size(self) -> int:
+        """Words of all rows: a row of one window has as many as a window."""
+        return int(self.numbers[4].sum()) + (self.window - 1) * self.numbers.shape[1]
 
     def split(self, route: int) -> "_Held":
         """Takes out all rows but those of a route, which is the last."""
@@ -326,9 +346,9 @@ class _Held:
     def settle(self) -> tuple[pa.RecordBatch, "_Held"]:
         """Ranges of the windows that repeat, and rows of the others."""
         route, key, doc, start, n, anchor, kind = self.numbers
-        ids, split = Words(), [w.split(b" ") for w in self.words]
-        flat = ids.numbers(list(chain.from_iterable(split)))
         lengths = n + self.window - 1
+        # words are objects one row at a time: all at once they would take ten times the memory of their texts
+        flat = np.fromiter(map(Numbers().__getitem__, chain.from_iterable(w.split(b" ") for w in self.words)), dtype=np.int64, count=int(lengths.sum()))
         flags = repeats(flat, np.cumsum(lengths) - lengths, n, anchor, _documents(doc, key), start, self.window)
         rows = np.repeat(np.arange(len(n)), n)
         inner = np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)
@@ -337,26 +357,27 @@ class _Held:
         first, m = _stretches(rows[left], inner[left])
         row, off = rows[left[first]], inner[left[first]]
         rest.numbers = np.stack([route[row], key[row], doc[row], start[row] + off, m, anchor[row] - off, kind[row]])
-        rest.words = [b" ".join(split[r][o : o + k + self.window - 1]) for r, o, k in zip(row.tolist(), off.tolist(), m.tolist())]
+        rest.words = [self.words[r] if whole else b" ".join(self.words[r].split(b" ")[o : o + k]) for r, o, k, whole in zip(row.tolist(), off.tolist(), (m + self.window - 1).tolist(), (m == n[row]).tolist())]
         return _ranges(flags, rows, start[rows] + inner, key, doc), rest
 
-    def parts(self) -> pa.RecordBatch:
+    def parts(self) -> Iterator[pa.RecordBatch]:
         """What is left of hot prefixes' parts, made longer: no part can know how crowded the others are."""
         at = np.flatnonzero(self.numbers[6] == PART)
         out = _Held(self.window)
         out.numbers, out.words = self.numbers[:, at], [self.words[i] for i in at.tolist()]
         return out.longer()
 
-    def longer(self) -> pa.RecordBatch:
+    def longer(self) -> Iterator[pa.RecordBatch]:
         """Each window as a row of its own, dealt by all its words: the prefix made as long as the window."""
         import xxhash
 
-        _, key, doc, start, n, _, _ = self.numbers
-        rows = np.repeat(np.arange(len(n)), n)
-        inner = np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)
-        words = [b" ".join(split[i : i + self.window]) for split, k in zip([w.split(b" ") for w in self.words], n.tolist()) for i in range(k)]
-        route = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words)).view(np.int64)
-        return _batch(SUFFIX, route, key[rows], doc[rows], start[rows] + inner, np.ones(len(rows)), np.zeros(len(rows)), words)
+        for at in range(0, len(self.words), LONGER):
+            _, key, doc, start, n, _, _ = self.numbers[:, at : at + LONGER]
+            rows = np.repeat(np.arange(len(n)), n)
+            inner = np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)
+            words = [b" ".join(split[i : i + self.window]) for split, k in zip((w.split(b" ") for w in self.words[at : at + LONGER]), n.tolist()) for i in range(k)]
+            route = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words)).view(np.int64)
+            yield _batch(SUFFIX, route, key[rows], doc[rows], start[rows] + inner, np.ones(len(rows)), np.zeros(len(rows)), words)
 
 
 def _grown(rows: DataFrame, window: int, most: int) -> DataFrame:
@@ -372,23 +393,22 @@ def _grown(rows: DataFrame, window: int, most: int) -> DataFrame:
                 same = pc.equal(batch.column(1), crowded)
                 part = _Held(window)
                 part.add(batch.filter(same))
-                if part.words:
-                    yield part.longer()
+                yield from part.longer()
                 batch = batch.filter(pc.invert(same))
                 crowded = None if batch.num_rows else crowded
             if batch.num_rows:
                 held.add(batch)
-            if held.windows() >= most:
+            if held.size() >= most:
                 last = int(held.numbers[0, -1])
                 whole = held.split(last)
                 if whole.words:
                     yield from settled(whole)
-                if held.windows() >= most:
+                if held.size() >= most:
                     single = not (held.numbers[4] > 1).any() and not held.numbers[5].any()
                     out, held = held.settle()
                     yield out
-                    if 2 * held.windows() > most and not single:
-                        yield held.longer()
+                    if 2 * held.size() > most and not single:
+                        yield from held.longer()
                         held, crowded = _Held(window), last
         if held.words:
             yield from settled(held)
@@ -396,7 +416,7 @@ def _grown(rows: DataFrame, window: int, most: int) -> DataFrame:
     def settled(held):
         out, rest = held.settle()
         yield out
-        yield rest.parts()
+        yield from rest.parts()
 
     return rows.repartition("route").sortWithinPartitions("route").mapInArrow(run, _ROWS)
 
@@ -405,7 +425,7 @@ def _removed(joined: DataFrame, window: int, as_they_were: bool) -> DataFrame:
     """Step 4: every row with its words counted and the kept ones joined by one space."""
 
     def run(batches):
-        for batch in batches:
+        for batch in chain.from_iterable((b.slice(at, PIECE) for at in range(0, b.num_rows, PIECE)) for b in batches):
             counts, gone, kept = [], [], []
             for value, ranges in zip(batch.column(1), batch.column(2).to_pylist()):
                 words = (value.as_py() or "").encode().split()
