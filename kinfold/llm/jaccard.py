@@ -204,6 +204,8 @@ def _across(named: DataFrame, sets: DataFrame) -> DataFrame:
 def _similar(pairs: DataFrame, marked: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     """(u, v), u > v: those of the pairs whose sets are at or over 4/5."""
     likely = saved(pairs.distinct(), "likely")
+    if likely.isEmpty():
+        return likely
     ids = likely.select(F.col("u").alias("fp")).union(likely.select("v")).distinct()
     wanted = saved(marked.select("fp", "h").join(ids, "fp").groupBy("fp").agg(F.min("h").alias("h")).select("h").distinct(), "wanted")
     picked = texts.join(F.broadcast(wanted) if wanted.count() <= PICKED else wanted, "h", "left_semi").select("text")

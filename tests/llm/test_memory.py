@@ -82,3 +82,18 @@ def test_stages_hand_over_few_bytes_at_once(spark):
     in_small_batches(spark)
     assert spark.conf.get(LIMIT) == "1m"
     spark.conf.unset(LIMIT)
+
+
+def test_written_tables_cost_the_driver_little(spark):
+    from kinfold.sources.storage import written
+
+    sc = spark.sparkContext
+    df = spark.range(0, 10, 1, 2).selectExpr("id", "array(id) AS a", "struct(id AS x) AS s", "cast(id AS string) AS t")
+    sc.setJobGroup("test_written", "")
+    out = written(df, "t")
+    jobs = len(sc.statusTracker().getJobIdsForGroup("test_written"))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs == 1  # the write alone
+    assert out.dtypes == df.dtypes and sorted(out.collect()) == sorted(df.collect())
+    folder = os.path.dirname(out.inputFiles()[0].removeprefix("file://"))
+    assert not os.path.exists(f"{folder}/_SUCCESS")
